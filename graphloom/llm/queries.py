@@ -6,9 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import packing, tokenizer
+from graphloom.llm.syntax import operator as syntax
 from graphloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.invalid(table(spark, d, "raw_nodes"))
+
+
+def p2_errors(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.all_errors(table(spark, d, "raw_nodes"))
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "raw_nodes"))
+
+
+def p2_against_reports(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.against_reports(table(spark, d, "raw_nodes"), table(spark, d, "pipeline_runs"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encoded(table(spark, d, "documents"))
 
@@ -33,6 +50,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_errors": p2_errors,
+    "p2_rates": p2_rates,
+    "p2_against_reports": p2_against_reports,
     "p6_ids": p6_ids,
     "p6_token_counts": p6_token_counts,
     "p7_containers": p7_containers,
