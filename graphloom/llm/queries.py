@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, tokenizer
+from graphloom.llm import packing, pii, tokenizer
 from graphloom.llm.syntax import operator as syntax
 from graphloom.sources.tables import table
 
@@ -49,6 +49,14 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(table(spark, d, "documents"), table(spark, d, "containers"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_errors": p2_errors,
@@ -58,6 +66,8 @@ QUERIES = {
     "p6_token_counts": p6_token_counts,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 
 ORACLE: dict[str, str] = {}
