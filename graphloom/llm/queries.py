@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, pii, tokenizer
+from graphloom.llm import packing, pii, secrets, tokenizer
 from graphloom.llm.syntax import operator as syntax
 from graphloom.sources.tables import table
 
@@ -26,6 +26,14 @@ def p2_against_reports(spark: SparkSession, d: str) -> DataFrame:
     return syntax.against_reports(table(spark, d, "raw_nodes"), table(spark, d, "pipeline_runs"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.found(table(spark, d, "nodes"))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redacted(table(spark, d, "nodes"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encoded(table(spark, d, "documents"))
 
@@ -62,6 +70,8 @@ QUERIES = {
     "p2_errors": p2_errors,
     "p2_rates": p2_rates,
     "p2_against_reports": p2_against_reports,
+    "p3_found": p3_found,
+    "p3_redacted": p3_redacted,
     "p6_ids": p6_ids,
     "p6_token_counts": p6_token_counts,
     "p7_containers": p7_containers,
