@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, pii, secrets, tokenizer
+from graphloom.llm import packing, pii, provenance, secrets, tokenizer
 from graphloom.llm.syntax import operator as syntax
 from graphloom.sources.tables import table
 
@@ -34,6 +34,14 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.redacted(table(spark, d, "nodes"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.found(table(spark, d, "nodes"), table(spark, d, "third_party"))
+
+
+def p4_rates(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.rates(table(spark, d, "nodes"), table(spark, d, "third_party"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encoded(table(spark, d, "documents"))
 
@@ -72,6 +80,8 @@ QUERIES = {
     "p2_against_reports": p2_against_reports,
     "p3_found": p3_found,
     "p3_redacted": p3_redacted,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p6_ids": p6_ids,
     "p6_token_counts": p6_token_counts,
     "p7_containers": p7_containers,
