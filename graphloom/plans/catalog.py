@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import problem_queries
+from graphloom.plans import graph_queries, problem_queries
 
-MODULES = [problem_queries]
+MODULES = [problem_queries, graph_queries]
 
 
 def queries() -> dict:
