@@ -17,13 +17,10 @@ tables give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import json
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.generations import Generations
 from graphloom.sources.tables import clean_path
 
 KEY = ["repo", "id"]
@@ -134,57 +131,34 @@ def changed_fields(node_snapshots: DataFrame, snapshots: DataFrame) -> DataFrame
 
 
 class SnapshotIndex:
-    """The index of the last snapshot as files: ``root/gen-*/`` (Parquet, sorted within key buckets) and ``root/CURRENT``.
+    """The index of the last snapshot as files, for snapshots that arrive one at a time.
 
-    A generation is written whole before the pointer is replaced, so a job that dies leaves the old index in force and
-    can be run again.
+    Each generation holds (repo, id, h1, h2), placed and sorted by key; ``advance`` probes it with the new snapshot and
+    swaps it.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
-        self.spark, self.root, self.buckets = spark, root, buckets
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def current(self) -> DataFrame | None:
-        jvm, fs = self._fs()
-        pointer = jvm.org.apache.hadoop.fs.Path(os.path.join(self.root, "CURRENT"))
-        if not fs.exists(pointer):
-            return None
-        gen = json.loads("".join(r.value for r in self.spark.read.text(str(pointer)).collect()))["gen"]
-        return self.spark.read.parquet(os.path.join(self.root, gen))
+        self.store, self.buckets = Generations(spark, root), buckets
 
     def advance(self, rows: DataFrame) -> DataFrame | None:
         """Probe with one new snapshot of whole repos, swap the index, and return the changes (None for the first).
 
-        ``rows`` may hold several repos; repos that it lacks keep their index entries.
+        ``rows`` may hold several repos; repos that it lacks keep their index entries and show no changes.
         """
-        old, gen = self.current(), f"gen-{uuid.uuid4().hex}"
+        old = self.store.read("index")
         new = latest(hashed(rows).repartition(*([self.buckets] if self.buckets else []), *KEY))
-        kept = new if old is None else new.unionByName(old.join(new.select("repo").distinct(), "repo", "left_anti"))
-        kept.sortWithinPartitions(*KEY).write.parquet(os.path.join(self.root, gen))
-        fresh = self.spark.read.parquet(os.path.join(self.root, gen))
+        arrived = new.select("repo").distinct()
+        kept = new if old is None else new.unionByName(old.join(arrived, "repo", "left_anti"))
+        fresh = self.store.write(index=kept.sortWithinPartitions(*KEY))["index"]
         changes = None
         if old is not None:
-            o, n = old.withColumnRenamed("h1", "o1").withColumnRenamed("h2", "o2"), fresh
-            touched = old.select("repo").distinct()
+            o = old.withColumnsRenamed({"h1": "o1", "h2": "o2"})
             kind = (
                 F.when(F.col("o1").isNull(), "added")
                 .when(F.col("h1").isNull(), "removed")
                 .when((F.col("o1") != F.col("h1")) | (F.col("o2") != F.col("h2")), "changed")
             )
-            changes = o.join(n, KEY, "full").select(*KEY, kind.alias("change_kind")).where("change_kind IS NOT NULL").join(touched, "repo", "left_semi")
-        self._swap(gen)
+            known = old.select("repo").distinct()
+            changes = o.join(fresh, KEY, "full").select(*KEY, kind.alias("change_kind")).where("change_kind IS NOT NULL").join(known, "repo", "left_semi")
+        self.store.publish()
         return changes
-
-    def _swap(self, gen: str) -> None:
-        jvm, fs = self._fs()
-        P = jvm.org.apache.hadoop.fs.Path
-        tmp, cur = P(os.path.join(self.root, f"CURRENT.{gen}")), P(os.path.join(self.root, "CURRENT"))
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps({"gen": gen}).encode()))
-        out.close()
-        fs.delete(cur, False)
-        fs.rename(tmp, cur)

@@ -55,7 +55,8 @@ def scopes(s, d):
 
 
 def section_texts(s, d):
-    return table(s, d, "nodes").where("type = 'section' AND code_snippet IS NOT NULL").select(clean_path("id").alias("section"), "repo", F.col("code_snippet").alias("text")).distinct()
+    own = table(s, d, "nodes").where("type = 'section' AND code_snippet IS NOT NULL").select(clean_path("id").alias("section"), "repo", F.col("code_snippet").alias("text")).distinct()
+    return own.unionByName(document_texts(s, d).withColumn("section", F.col("section").cast("string")))
 
 
 def document_texts(s, d):
@@ -67,7 +68,7 @@ def slug_sql(c: str) -> str:
 
 
 def layer_sql() -> str:
-    path, name = f"lower({clean('file_path')})", "lower(name)"
+    path, name = f"lower({clean('file_path')})", "name"
     when = " ".join(f"WHEN regexp_matches({path}, '{r}') THEN '{x}'" for x, r in X.PATH_RULES) + " " + " ".join(f"WHEN regexp_matches({name}, '{r}') THEN '{x}'" for x, r in X.NAME_RULES)
     return f"CASE WHEN type NOT IN ('class', 'interface', 'function', 'enum') THEN NULL {when} END"
 
@@ -113,7 +114,7 @@ def mention_sql(texts: str) -> str:
     return sql(f", {NAMES}, tx AS ({texts}), tk AS (SELECT DISTINCT section, repo, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{2,}}')) AS name FROM tx), mt AS (SELECT DISTINCT section, id, name FROM tk JOIN nm USING (repo, name))")
 
 
-SECTION_TEXTS = f"SELECT DISTINCT {clean('id')} AS section, repo, code_snippet AS text FROM nodes WHERE type = 'section' AND code_snippet IS NOT NULL"
+SECTION_TEXTS = f"SELECT DISTINCT {clean('id')} AS section, repo, code_snippet AS text FROM nodes WHERE type = 'section' AND code_snippet IS NOT NULL UNION ALL SELECT doc_id::VARCHAR, repo, text FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL"
 
 MIRROR = f"""CASE WHEN pos > 0 AND pos < len(parts) THEN array_to_string(list_transform(parts[:-2], lambda x, i: CASE WHEN i = pos THEN 'src' ELSE x END), '/') || '/' || regexp_replace({STEM.format('p')}, '{SUFFIX}', '') || regexp_extract(p, '(\\.[^./]*)$', 1) END"""
 MIRRORED = f"pp AS (SELECT *, list_position(list_transform(parts, lambda x: lower(x) IN ('test', 'tests', 'spec', 'specs', '__tests__')), true) AS pos FROM (SELECT id, file_path AS p, string_split(file_path, '/') AS parts FROM ln WHERE file_path IS NOT NULL))"
