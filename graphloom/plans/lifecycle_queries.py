@@ -13,7 +13,7 @@ from graphloom.operators import lifecycle as L
 from graphloom.operators import resolve as R
 from graphloom.plans.graph_queries import E, N, sql
 from graphloom.plans.problem_queries import clean
-from graphloom.plans.text_queries import SIG4, calls, layer_sql, resolve_sql
+from graphloom.plans.text_queries import SIG4, TEST_MAP, calls, layer_sql, resolve_sql
 from graphloom.session import ensure_checkpoint_dir
 from graphloom.sources.tables import table
 from graphloom.streaming.ingest import GraphStream
@@ -115,7 +115,7 @@ FROM gn o FULL JOIN nn n ON n.id = o.id"""),
     ),
     "upsert_edges": (
         lambda s, d: L.upsert_edges(E(s, d), new_edges(s, d), now()),
-        None,
+        sql(f"{TEST_MAP} SELECT coalesce(o.src, n.src) AS src, coalesce(o.dst, n.dst) AS dst, coalesce(o.type, 'TESTS') AS type, CASE WHEN o.src IS NOT NULL THEN o.weight ELSE n.weight END AS weight, CASE WHEN o.src IS NOT NULL THEN o.unresolved ELSE false END AS unresolved, coalesce(o.created_at, {TS}) AS created_at, CASE WHEN n.src IS NOT NULL THEN {TS} ELSE o.created_at END AS updated_at FROM ge o FULL JOIN tm n ON n.src = o.src AND n.dst = o.dst AND o.type = 'TESTS'"),
     ),
     "upsert_edges_overwrite": (
         lambda s, d: L.upsert_edges(E(s, d).where("type = 'CALLS'"), calls(s, d).withColumn("type", F.lit("CALLS")), now(), True),

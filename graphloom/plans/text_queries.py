@@ -119,6 +119,15 @@ SECTION_TEXTS = f"SELECT DISTINCT {clean('id')} AS section, repo, code_snippet A
 MIRROR = f"""CASE WHEN pos > 0 AND pos < len(parts) THEN array_to_string(list_transform(parts[:-2], lambda x, i: CASE WHEN i = pos THEN 'src' ELSE x END), '/') || '/' || regexp_replace({STEM.format('p')}, '{SUFFIX}', '') || regexp_extract(p, '(\\.[^./]*)$', 1) END"""
 MIRRORED = f"pp AS (SELECT *, list_position(list_transform(parts, lambda x: lower(x) IN ('test', 'tests', 'spec', 'specs', '__tests__')), true) AS pos FROM (SELECT id, file_path AS p, string_split(file_path, '/') AS parts FROM ln WHERE file_path IS NOT NULL))"
 
+X_PROBES = str(R.PROBES)
+
+TEST_MAP = f""", t AS (SELECT id, type, repo, file_path FROM ln WHERE type IN ('class', 'function', 'file') AND file_path IS NOT NULL AND {TEST_PATH.format('file_path')}),
+p AS (SELECT id, type, repo, file_path FROM ln WHERE type IN ('class', 'function', 'file') AND file_path IS NOT NULL AND NOT {TEST_PATH.format('file_path')}), {MIRRORED},
+u AS (SELECT src, dst, 0.9 AS weight FROM ge JOIN t ON t.id = src JOIN p ON p.id = dst WHERE ge.type = 'CALLS' AND t.repo = p.repo
+UNION ALL SELECT t.id, p.id, 0.7 FROM t JOIN p ON t.repo = p.repo AND lower(regexp_replace({STEM.format('t.file_path')}, '{SUFFIX}', '')) = lower({STEM.format('p.file_path')}) WHERE t.type = 'file' AND p.type = 'file'
+UNION ALL SELECT t.id, p.id, 0.6 FROM t JOIN (SELECT id, {MIRROR} AS target FROM pp) m ON m.id = t.id JOIN p ON p.repo = t.repo AND p.file_path = m.target WHERE t.type = 'file' AND p.type = 'file'),
+tm AS (SELECT src, dst, max(weight) AS weight FROM u GROUP BY src, dst)"""
+
 PAIRS: dict[str, tuple] = {
     "name_tokens": (
         named(lambda n: n.select("id", X.name_tokens("name").alias("tokens"))),
@@ -191,19 +200,22 @@ PAIRS: dict[str, tuple] = {
         lambda s, d: R.resolve_names(R.call_sites(table(s, d, "edges"), ("INHERITS", "IMPLEMENTS")), registry(s, d, "class", "interface", "function")),
         f"WITH {resolve_sql(chr(39) + 'class' + chr(39) + ', ' + chr(39) + 'interface' + chr(39) + ', ' + chr(39) + 'function' + chr(39), chr(39) + 'INHERITS' + chr(39) + ', ' + chr(39) + 'IMPLEMENTS' + chr(39))}",
     ),
-    "imports_resolution": (imports, None),
+    "imports_resolution": (
+        imports,
+        f"""WITH {facts_sql()}, fi AS (SELECT DISTINCT repo, {clean('file_path')} AS path, 'file:' || repo || ':' || {clean('file_path')} AS id FROM raw_nodes WHERE type = 'file'),
+im AS (SELECT DISTINCT repo, file_path AS path, name AS import_path FROM facts WHERE kind = 'import'),
+ba AS (SELECT *, CASE WHEN regexp_matches(import_path, '^\\.\\.?/') THEN array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(regexp_replace(path, '[^/]*$', '') || import_path, '/'), lambda x: [x])), lambda acc, x: CASE WHEN x[1] IN ('.', '') THEN acc WHEN x[1] = '..' THEN acc[:-2] ELSE acc || x END), '/') END AS base FROM im),
+tr AS (SELECT repo, path, import_path, unnest(list_transform({X_PROBES}, lambda p: base || p)) AS target, unnest(range(1, 8)) AS k FROM ba WHERE base IS NOT NULL),
+hi AS (SELECT tr.repo, tr.path, import_path, fi.id AS dst FROM tr JOIN fi ON fi.repo = tr.repo AND fi.path = tr.target QUALIFY row_number() OVER (PARTITION BY tr.repo, tr.path, import_path ORDER BY k, fi.id) = 1)
+SELECT DISTINCT 'file:' || ba.repo || ':' || ba.path AS src, coalesce(dst, 'module:' || ba.repo || ':' || ba.import_path) AS dst, dst IS NULL AS unresolved, CASE WHEN dst IS NULL THEN 0.7 ELSE 1.0 END AS weight FROM ba LEFT JOIN hi USING (repo, path, import_path)""",
+    ),
     "containing_scope": (
         scopes,
         f"WITH r AS (SELECT DISTINCT run_id, type, repo, name, {clean('file_path')} AS path, line_range.\"start\" AS s, line_range.\"end\" AS e FROM raw_nodes WHERE line_range.\"start\" IS NOT NULL AND line_range.\"end\" IS NOT NULL), h AS (SELECT concat_ws('|', f.run_id, f.path, f.name, f.s) AS site, concat_ws('|', c.name, c.s) AS scope, c.e - c.s AS span, c.s FROM r f JOIN r c ON c.type = 'class' AND c.repo = f.repo AND c.run_id = f.run_id AND c.path = f.path AND c.s <= f.s AND f.s <= c.e WHERE f.type = 'function') SELECT site, scope FROM h QUALIFY row_number() OVER (PARTITION BY site ORDER BY span, s, scope) = 1",
     ),
     "test_map": (
         lambda s, d: R.test_links(E(s, d).where("type = 'CALLS'"), N(s, d, "type", "repo", "file_path", "deleted_at")),
-        sql(f""", t AS (SELECT id, type, repo, file_path FROM ln WHERE type IN ('class', 'function', 'file') AND file_path IS NOT NULL AND {TEST_PATH.format('file_path')}),
-p AS (SELECT id, type, repo, file_path FROM ln WHERE type IN ('class', 'function', 'file') AND file_path IS NOT NULL AND NOT {TEST_PATH.format('file_path')}), {MIRRORED},
-u AS (SELECT src, dst, 0.9 AS weight FROM ge JOIN t ON t.id = src JOIN p ON p.id = dst WHERE ge.type = 'CALLS' AND t.repo = p.repo
-UNION ALL SELECT t.id, p.id, 0.7 FROM t JOIN p ON t.repo = p.repo AND lower(regexp_replace({STEM.format('t.file_path')}, '{SUFFIX}', '')) = lower({STEM.format('p.file_path')}) WHERE t.type = 'file' AND p.type = 'file'
-UNION ALL SELECT t.id, p.id, 0.6 FROM t JOIN (SELECT id, {MIRROR} AS target FROM pp) m ON m.id = t.id JOIN p ON p.repo = t.repo AND p.file_path = m.target WHERE t.type = 'file' AND p.type = 'file')
-SELECT src, dst, max(weight) AS weight FROM u GROUP BY src, dst"""),
+        sql(f"{TEST_MAP} SELECT * FROM tm"),
     ),
 }
 
