@@ -30,7 +30,7 @@ class RuleSummaries:
             text = r["text"] or ""
             m = self.COMMENT.search(text)
             lines = text.count("\n") + 1 if text else 0
-            words = re.findall(r"[A-Z]?[a-z]{3,}", r["name"] or "")
+            words = re.findall(r"[A-Z]?[a-z]{2,}", r["name"] or "")
             out.append({
                 "summary": m.group(1).strip() if m else f"{(r['type'] or 'node').capitalize()} '{r['name']}'.",
                 "tags": sorted({w.lower() for w in words})[:5],
