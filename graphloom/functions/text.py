@@ -176,3 +176,16 @@ def source_slice(text: Column, start: Column, end: Column, first: int = 60) -> C
     lines = F.split(text, "\n")
     known = start.isNotNull() & end.isNotNull() & (start >= 1) & (end >= start)
     return F.array_join(F.when(known, F.slice(lines, F.greatest(start, F.lit(1)), F.greatest(end - start + 1, F.lit(1)))).otherwise(F.slice(lines, 1, first)), "\n")
+
+
+def summary_prompt(kind: Column | str, name: Column | str, lang: Column | str, code: Column | str, cap: int = 4000) -> Column:
+    """The question put to a summary provider."""
+    return F.format_string(
+        "Summarise the %s '%s' in one sentence and give tags and a complexity as JSON.\nLanguage: %s\n\n%s", F.coalesce(col(kind), F.lit("node")), F.coalesce(col(name), F.lit("")), F.coalesce(col(lang), F.lit("unknown")), F.substring(F.coalesce(col(code), F.lit("")), 1, cap)
+    )
+
+
+def parse_response(c: Column | str) -> Column:
+    """struct(summary, tags, complexity) from the answer of a provider: the first JSON object, fenced or not; nulls where there is none."""
+    body = F.regexp_extract(col(c), r"(?s)\{.*\}", 0)
+    return F.from_json(F.nullif(body, F.lit("")), "summary string, tags array<string>, complexity string")

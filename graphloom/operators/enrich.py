@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import spread
 
 
 class RuleSummaries:
@@ -70,7 +69,7 @@ def summaries(nodes: DataFrame, factory: Callable = RuleSummaries, attempts: int
             found = found or [{"summary": None, "tags": None, "complexity": None}] * len(frame)
             yield pd.DataFrame({"id": frame["id"], "summary": [x["summary"] for x in found], "tags": [x["tags"] for x in found], "complexity": [x["complexity"] for x in found]})
 
-    return spread(nodes.select("id", "type", "name", "text")).mapInPandas(run, "id string, summary string, tags array<string>, complexity string")
+    return nodes.select("id", "type", "name", "text").mapInPandas(run, "id string, summary string, tags array<string>, complexity string")
 
 
 def embeddings(rows: DataFrame, key: str, text: str, factory: Callable = HashedWords) -> DataFrame:
@@ -82,7 +81,7 @@ def embeddings(rows: DataFrame, key: str, text: str, factory: Callable = HashedW
         for frame in batches:
             yield pd.DataFrame({"k": frame["k"], "embedding": list(provider.embed(frame["t"].fillna("").tolist()))})
 
-    return spread(rows.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInPandas(run, f"k {kind}, embedding array<float>").withColumnRenamed("k", key)
+    return rows.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, embedding array<float>").withColumnRenamed("k", key)
 
 
 def wanted(nodes: DataFrame, ids: list[str] | None = None, only_missing: bool = True) -> DataFrame:

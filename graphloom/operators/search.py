@@ -49,17 +49,19 @@ def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame, most: int
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, most: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, most: int = 10) -> DataFrame:
     """(query, key, score, rank): the nearest rows to each query (query, vector) by cosine, score (1 + cos) / 2.
 
     Queries go block by block, so that what is shared with the workers is bounded by BLOCK vectors.
     """
     kinds = dict(vectors.dtypes)
-    q = cut(queries.select("query", "vector").withColumn("no", F.row_number().over(Window.orderBy("query")) - 1)) if queries.count() > BLOCK else queries.select("query", "vector").withColumn("no", F.lit(0))
-    blocks = max(1, -(-queries.count() // BLOCK))
+    q = queries.where("vector IS NOT NULL").select("query", "vector")
+    blocks = -(-q.count() // BLOCK)
+    if blocks > 1:  # blocks by hash are of about equal size
+        q = cut(q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks))))
     out: DataFrame | None = None
     for b in range(blocks):
-        rows = q.where((F.col("no") >= b * BLOCK) & (F.col("no") < (b + 1) * BLOCK)).select("query", "vector").collect() if blocks > 1 else q.select("query", "vector").collect()
+        rows = (q if blocks == 1 else q.where(F.col("block") == b)).select("query", "vector").collect()
         if not rows:
             continue
         names = np.array([r["query"] for r in rows])
@@ -72,14 +74,11 @@ def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, most: int
                     continue
                 v = np.stack(frame["v"].to_numpy()).astype(np.float64)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                cos = matrix @ v.T
-                k = min(most, cos.shape[1])
-                ids = frame["k"].to_numpy()
-                for i in range(len(names)):
-                    row = np.round(cos[i], 9)
-                    edge = np.partition(row, -k)[-k]
-                    top = np.flatnonzero(row >= edge)  # ties at the edge all go on; the window settles them
-                    yield pd.DataFrame({"query": names[i], "k": ids[top], "score": np.round((1 + row[top]) / 2, 6)})
+                score = np.round((1 + matrix @ v.T) / 2, 6)
+                k = min(most, score.shape[1])
+                edge = np.partition(score, -k, axis=1)[:, -k]
+                i, j = np.nonzero(score >= edge[:, None])  # ties at the edge all go on; the window settles them
+                yield pd.DataFrame({"query": names[i], "k": frame["k"].to_numpy()[j], "score": score[i, j]})
 
         kind = dict(queries.dtypes)["query"]
         part = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v IS NOT NULL").mapInPandas(best, f"query {kind}, k {kinds[key]}, score double")

@@ -98,3 +98,46 @@ def dead_code(calls: DataFrame, nodes: DataFrame, entry_layer: str = "controller
         .select("repo", F.coalesce("entry_points", F.lit(0)).alias("entry_points"), "total", "reachable", (F.col("total") - F.col("reachable")).alias("unreachable"))
     )
     return dead, counters
+
+
+def neighbourhood(edges: DataFrame, starts: DataFrame, depth: int = 2, direction: str = "both", edge_types: tuple[str, ...] = ("CALLS",), per_hop: int = 50) -> DataFrame:
+    """(start, id, depth): layers of nodes at exactly 1..depth hops; at most ``per_hop`` new nodes (by id) for a start and hop."""
+    out, inn = hops(edges, False, edge_types), hops(edges, True, edge_types)
+    step = cut({"out": out, "in": inn, "both": out.unionByName(inn)}[direction].distinct())
+    front = cut(starts.select(F.col("id").alias("start"), F.col("id").alias("at")))
+    seen, layers = front, None
+    w = Window.partitionBy("start").orderBy("at")
+    for d in range(1, depth + 1):
+        new = front.join(step, "at").select("start", F.col("next").alias("at")).distinct().join(seen, ["start", "at"], "left_anti")
+        front = cut(new.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_hop).drop("n"))
+        now = front.select("start", F.col("at").alias("id"), F.lit(d).alias("depth"))
+        layers = now if layers is None else layers.unionByName(now)
+        seen = seen.unionByName(front)
+    return layers
+
+
+def dependency_map(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
+    """(start, id, status, related): confirmed where a call path leads from the start, likely where only an edge touches it.
+
+    related: the node shares a word of its file's folder with the start, or is confirmed.
+    """
+    confirmed = call_chains(edges, starts, depth).select("start", "id").withColumn("status", F.lit("confirmed"))
+    e = edges.select(F.col("src").alias("start"), F.col("dst").alias("id")).unionByName(edges.select(F.col("dst").alias("start"), F.col("src").alias("id"))).where("start <> id").distinct()
+    likely = e.join(starts.select(F.col("id").alias("start")), "start", "left_semi").join(confirmed.select("start", "id"), ["start", "id"], "left_anti").withColumn("status", F.lit("likely"))
+    folder = F.array_except(F.split(F.regexp_replace(F.coalesce("file_path", F.lit("")), r"/?[^/]*$", ""), "/"), F.array(F.lit("src"), F.lit("")))
+    n = nodes.select("id", folder.alias("f"))
+    return (
+        confirmed.unionByName(likely).join(n, "id").join(n.select(F.col("id").alias("start"), F.col("f").alias("g")), "start")
+        .select("start", "id", "status", ((F.col("status") == "confirmed") | F.arrays_overlap("f", "g")).alias("related"))
+    )
+
+
+def entry_chains(calls: DataFrame, nodes: DataFrame, upper: str = "controller", middle: str = "service", lower: str = "repository") -> DataFrame:
+    """(entry, service, repository): calls from the upper over the middle to the lower layer; repository is null where a chain ends early."""
+    def members(layer: str, name: str) -> DataFrame:
+        return nodes.where((F.col("layer") == layer) & F.col("deleted_at").isNull()).select(F.col("id").alias(name))
+
+    c = calls.select("src", "dst")
+    first = c.join(members(upper, "src"), "src", "left_semi").join(members(middle, "dst"), "dst", "left_semi").select(F.col("src").alias("entry"), F.col("dst").alias("service"))
+    last = c.join(members(middle, "src"), "src", "left_semi").join(members(lower, "dst"), "dst", "left_semi").select(F.col("src").alias("service"), F.col("dst").alias("repository"))
+    return first.join(last, "service", "left").select("entry", "service", "repository").distinct()

@@ -25,8 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Give a CPU-heavy Python stage work for every core.
 
-    Large inputs already have more splits than cores and pass unchanged; only an input of few splits is dealt out
-    again, so the extra exchange never grows beyond a few splits per core.
+    For plans without an exchange, that is scans with filters and projections: their splits are known before anything
+    runs.  Large inputs already have more splits than cores and pass unchanged; only an input of few splits is dealt
+    out again, so the extra exchange never grows beyond a few splits per core.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores * per_core:
