@@ -185,11 +185,17 @@ M = [f"m{k}" for k in range(5)]
 B = [f"b{k}" for k in range(5)]
 
 
-def through(values: list[Column], matrix: np.ndarray) -> list[Column]:
-    """Log message through a compatibility: for each row r, log sum over c of matrix[r, c] * exp(values[c])."""
-    top = F.greatest(*values)
-    parts = [F.exp(v - top) for v in values]
-    return [F.log(sum((F.lit(float(matrix[r, c])) * parts[c] for c in range(1, 5)), F.lit(float(matrix[r, 0])) * parts[0])) + top for r in range(5)]
+def through(df: DataFrame, values: list[Column], matrix: np.ndarray, out: list[str]) -> DataFrame:
+    """df with a log message through a compatibility: for each row r, log sum over c of matrix[r, c] * exp(values[c]).
+
+    In steps, so that no expression is written out many times in the generated code.
+    """
+    kept = [c for c in df.columns if c not in out]
+    v, x = [f"__v{k}" for k in range(5)], [f"__x{k}" for k in range(5)]
+    df = df.withColumns(dict(zip(v, values, strict=True))).withColumn("__top", F.greatest(*v))
+    df = df.select(*kept, "__top", *[F.exp(F.col(a) - F.col("__top")).alias(b) for a, b in zip(v, x, strict=True)])
+    sums = [sum((F.col(x[c]) * float(matrix[r, c]) for c in range(1, 5)), F.col(x[0]) * float(matrix[r, 0])) for r in range(5)]
+    return df.select(*kept, *[(F.log(t) + F.col("__top")).alias(o) for t, o in zip(sums, out, strict=True)])
 
 
 def parent(key: Column) -> Column:
@@ -199,43 +205,38 @@ def parent(key: Column) -> Column:
 def propagate(files: DataFrame) -> DataFrame:
     """Beliefs of the files: (id, repo, path, extension, b0..b4), up to a constant."""
     group = F.concat(F.lit("/"), F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "/")).otherwise(""), F.lit("*."), F.col("extension"))
-    files = files.withColumn("key", group)
-    messages = through([F.col(c) for c in E], COMPATIBLE)
-    sent = files.withColumns(dict(zip(M, messages, strict=True)))
+    sent = through(files.withColumn("key", group), [F.col(c) for c in E], COMPATIBLE, M)
     groups = cut(sent.groupBy("repo", "key").agg(*[F.sum(m).alias(m) for m in M]).withColumn("depth", F.size(F.split("key", "/")) - 1))
     deepest = groups.agg(F.max("depth")).collect()[0][0]
     if deepest is None:
         return files.select("id", "repo", "path", "extension", *[F.col(e).alias(b) for e, b in zip(E, B, strict=True)])
+    values = [F.col(m) for m in M]
     up: dict[int, DataFrame] = {}
-    arriving = groups.where(F.col("depth") == deepest)
+    arriving = groups.where(F.col("depth") == deepest).drop("depth")
     for d in range(deepest, -1, -1):
-        name = F.regexp_extract("key", r"([^/]*)$", 1)
-        own = directory_evidence(name, F.lit(d))
+        own = directory_evidence(F.regexp_extract("key", r"([^/]*)$", 1), F.lit(d))
         level = arriving.groupBy("repo", "key").agg(*[F.sum(m).alias(m) for m in M]).select("repo", "key", *[(F.col(m) + e).alias(m) for m, e in zip(M, own, strict=True)])
         up[d] = level = cut(level)
         if d:
-            sending = level.select("repo", parent(F.col("key")).alias("key"), *[c.alias(m) for c, m in zip(through([F.col(m) for m in M], COMPATIBLE), M, strict=True)])
-            arriving = sending.unionByName(groups.where(F.col("depth") == d - 1).select("repo", "key", *M))
+            sending = through(level, values, COMPATIBLE, M).withColumn("key", parent(F.col("key")))
+            arriving = sending.unionByName(groups.where(F.col("depth") == d - 1).drop("depth"))
     beliefs = up[0].select("repo", "key", *[(F.col(m) + float(r)).alias(b) for m, r, b in zip(M, ROOT, B, strict=True)])
     kept: DataFrame | None = None
     for d in range(1, deepest + 1):
         above = beliefs.select("repo", F.col("key").alias("pkey"), *[F.col(b).alias("p" + b) for b in B])
-        here = up[d].withColumn("pkey", parent(F.col("key"))).join(above, ["repo", "pkey"])
-        back = through([F.col(m) for m in M], COMPATIBLE)
-        rest = [F.col("p" + b) - c for b, c in zip(B, back, strict=True)]
-        down = through(rest, COMPATIBLE.T)
-        beliefs = cut(here.select("repo", "key", *[(F.col(m) + x).alias(b) for m, x, b in zip(M, down, B, strict=True)]))
+        here = through(up[d].withColumns({m + "up": F.col(m) for m in M}), values, COMPATIBLE, M).withColumn("pkey", parent(F.col("key"))).join(above, ["repo", "pkey"])
+        down = through(here, [F.col("p" + b) - F.col(m) for b, m in zip(B, M, strict=True)], COMPATIBLE.T, B)
+        beliefs = cut(down.select("repo", "key", *[(F.col(m + "up") + F.col(b)).alias(b) for m, b in zip(M, B, strict=True)]))
         leaves = beliefs.where(F.col("key").contains("/*."))
         kept = leaves if kept is None else kept.unionByName(leaves)
     above = kept.select("repo", "key", *[F.col(b).alias("p" + b) for b in B])
-    rest = [F.col("p" + b) - F.col(m) for b, m in zip(B, M, strict=True)]
-    final = through(rest, COMPATIBLE.T)
-    return sent.join(above, ["repo", "key"]).select("id", "repo", "path", "extension", *[(F.col(e) + x).alias(b) for e, x, b in zip(E, final, B, strict=True)])
+    final = through(sent.join(above, ["repo", "key"]), [F.col("p" + b) - F.col(m) for b, m in zip(B, M, strict=True)], COMPATIBLE.T, B)
+    return final.select("id", "repo", "path", "extension", *[(F.col(e) + F.col(b)).alias(b) for e, b in zip(E, B, strict=True)])
 
 
 def labelled(nodes: DataFrame, references: DataFrame) -> DataFrame:
     """(id, repo, path, label, probability) of every file that is not a settings file."""
-    beliefs = propagate(cut(evidence(nodes, references)))
+    beliefs = cut(propagate(cut(evidence(nodes, references))))  # written, else a filter on the label would repeat all of it
     top = F.greatest(*[F.col(b) for b in B])
     label = F.coalesce(*[F.when(F.col(b) == top, F.lit(name)) for b, name in zip(B, LABELS, strict=True)])
     total = sum((F.exp(F.col(b) - top) for b in B[1:]), F.exp(F.col(B[0]) - top))
