@@ -236,7 +236,7 @@ def propagate(files: DataFrame) -> DataFrame:
 
 def labelled(nodes: DataFrame, references: DataFrame) -> DataFrame:
     """(id, repo, path, label, probability) of every file that is not a settings file."""
-    beliefs = cut(propagate(cut(evidence(nodes, references))))  # written, else a filter on the label would repeat all of it
+    beliefs = cut(propagate(cut(evidence(nodes, references).distinct())))  # written, else a filter on the label would repeat all of it
     top = F.greatest(*[F.col(b) for b in B])
     label = F.coalesce(*[F.when(F.col(b) == top, F.lit(name)) for b, name in zip(B, LABELS, strict=True)])
     total = sum((F.exp(F.col(b) - top) for b in B[1:]), F.exp(F.col(B[0]) - top))
