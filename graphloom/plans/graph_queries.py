@@ -29,7 +29,7 @@ ge AS (
   FROM edges WHERE from_id IS NOT NULL AND to_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY {clean('from_id')}, {clean('to_id')}, type ORDER BY created_at, {clean('id')}) = 1),
 ln AS (SELECT * FROM gn WHERE deleted_at IS NULL),
-deg AS (SELECT id, sum(i) AS in_degree, sum(o) AS out_degree, sum(i) + sum(o) AS degree FROM (
+deg AS (SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, (sum(i) + sum(o))::BIGINT AS degree FROM (
   SELECT src AS id, 0 AS i, 1 AS o FROM ge WHERE type = 'CALLS' UNION ALL SELECT dst, 1, 0 FROM ge WHERE type = 'CALLS') GROUP BY id),
 intra AS (SELECT e.src, e.dst, a.repo, a.layer AS from_layer, b.layer AS to_layer FROM ge e JOIN ln a ON a.id = e.src JOIN ln b ON b.id = e.dst WHERE e.type = 'CALLS' AND a.repo = b.repo),
 sides AS (

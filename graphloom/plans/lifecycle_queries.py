@@ -158,7 +158,7 @@ FROM gn o FULL JOIN nn n ON n.id = o.id"""),
     "node_embeddings": (node_embeddings, None),
     "run_totals": (
         lambda s, d: table(s, d, "pipeline_runs").distinct().groupBy("repo").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "completed").alias("completed"), F.sum("nodes_added").alias("nodes_added"), F.round(F.avg("duration_seconds"), 6).alias("mean_seconds"), F.sum(F.size(F.coalesce("errors", F.array().cast("array<string>")))).alias("errors")),
-        "SELECT repo, count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, sum(nodes_added) AS nodes_added, round(avg(duration_seconds), 6) AS mean_seconds, sum(len(coalesce(errors, []))) AS errors FROM (SELECT DISTINCT * FROM pipeline_runs) GROUP BY repo",
+        "SELECT repo, count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, sum(nodes_added)::BIGINT AS nodes_added, round(avg(duration_seconds), 6) AS mean_seconds, sum(len(coalesce(errors, [])))::BIGINT AS errors FROM (SELECT DISTINCT * FROM pipeline_runs) GROUP BY repo",
     ),
     "stream_ingest": (streamed, f"WITH {norm_sql('raw_nodes')} SELECT id, type, file_hash, layer, run_id AS first_seen_commit FROM nn"),
 }
