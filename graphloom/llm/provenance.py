@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,12 @@ SHAPE = re.compile(r"\"[^\"]*\"|'[^']*'|\d+|[A-Z]\w*|\w*_\w+|[a-z]+[A-Z0-9]\w*")
 SPACE = re.compile(r"\s+")
 
 
+@lru_cache(maxsize=1)
+def references(texts: tuple[str, ...]) -> References:
+    """Made once per worker."""
+    return References(list(texts))
+
+
 def name_evidence(name: str) -> np.ndarray:
     """From the name of a file."""
     low, e = name.lower(), np.zeros(5)
@@ -165,12 +172,12 @@ def evidence(nodes: DataFrame, references: DataFrame) -> DataFrame:
     refs = [r[0] for r in references.where("code_snippet IS NOT NULL").select("code_snippet").distinct().limit(MOST_REFERENCES + 1).collect()]
     if len(refs) > MOST_REFERENCES:
         raise ValueError(f"more than {MOST_REFERENCES} reference copies; they would have to be joined, not shared")
-    shared = nodes.sparkSession.sparkContext.broadcast(refs)
+    shared = nodes.sparkSession.sparkContext.broadcast(tuple(refs))
     path = clean_path("file_path")
     files = nodes.where("type = 'file'").select(clean_path("id").alias("id"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce(path, F.lit("")).alias("path"), F.col("code_snippet").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = References(shared.value)
+        known = references(shared.value)
         for batch in batches:
             texts, paths = batch.column("text").to_pylist(), batch.column("path").to_pylist()
             e = np.array([text_evidence((t or "").replace("\r", ""), p.rpartition("/")[2], known) for t, p in zip(texts, paths, strict=True)]).reshape(-1, 5)
