@@ -60,7 +60,7 @@ SPACE = re.compile(r"\s+")
 
 
 @lru_cache(maxsize=1)
-def references(texts: tuple[str, ...]) -> References:
+def reference_shingles(texts: tuple[str, ...]) -> References:
     """Made once per worker."""
     return References(list(texts))
 
@@ -177,7 +177,7 @@ def evidence(nodes: DataFrame, references: DataFrame) -> DataFrame:
     files = nodes.where("type = 'file'").select(clean_path("id").alias("id"), F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce(path, F.lit("")).alias("path"), F.col("code_snippet").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = references(shared.value)
+        known = reference_shingles(shared.value)
         for batch in batches:
             texts, paths = batch.column("text").to_pylist(), batch.column("path").to_pylist()
             e = np.array([text_evidence((t or "").replace("\r", ""), p.rpartition("/")[2], known) for t, p in zip(texts, paths, strict=True)]).reshape(-1, 5)
