@@ -42,6 +42,11 @@ def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return provenance.rates(table(spark, d, "nodes"), table(spark, d, "third_party"))
 
 
+def p4_handwritten(spark: SparkSession, d: str) -> DataFrame:
+    """What remains: source files labelled as written by hand, with the probability of that."""
+    return provenance.labelled(table(spark, d, "nodes"), table(spark, d, "third_party")).where(F.col("label") == provenance.LABELS[0]).select("id", "repo", "path", "probability").distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encoded(table(spark, d, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "p3_redacted": p3_redacted,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
+    "p4_handwritten": p4_handwritten,
     "p6_ids": p6_ids,
     "p6_token_counts": p6_token_counts,
     "p7_containers": p7_containers,
