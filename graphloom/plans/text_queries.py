@@ -126,7 +126,7 @@ p AS (SELECT id, type, repo, file_path FROM ln WHERE type IN ('class', 'function
 u AS (SELECT src, dst, 0.9 AS weight FROM ge JOIN t ON t.id = src JOIN p ON p.id = dst WHERE ge.type = 'CALLS' AND t.repo = p.repo
 UNION ALL SELECT t.id, p.id, 0.7 FROM t JOIN p ON t.repo = p.repo AND lower(regexp_replace({STEM.format('t.file_path')}, '{SUFFIX}', '')) = lower({STEM.format('p.file_path')}) WHERE t.type = 'file' AND p.type = 'file'
 UNION ALL SELECT t.id, p.id, 0.6 FROM t JOIN (SELECT id, {MIRROR} AS target FROM pp) m ON m.id = t.id JOIN p ON p.repo = t.repo AND p.file_path = m.target WHERE t.type = 'file' AND p.type = 'file'),
-tm AS (SELECT src, dst, max(weight) AS weight FROM u GROUP BY src, dst)"""
+tm AS (SELECT src, dst, max(weight)::DOUBLE AS weight FROM u GROUP BY src, dst)"""
 
 PAIRS: dict[str, tuple] = {
     "name_tokens": (
@@ -188,7 +188,7 @@ PAIRS: dict[str, tuple] = {
     ),
     "mentions": (
         lambda s, d: (lambda n: __import__("graphloom.operators.search", fromlist=["name_matches"]).name_matches(document_texts(s, d), "section", F.col("text"), n.where("type IN ('class', 'function')"), "repo").withColumn("weight", F.lit(0.8)))(G.live(N(s, d, "type", "name", "repo", "deleted_at"))),
-        mention_sql("SELECT doc_id AS section, repo, text FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL") + " SELECT section, id, name, 0.8 AS weight FROM mt",
+        mention_sql("SELECT doc_id AS section, repo, text FROM documents WHERE text IS NOT NULL AND repo IS NOT NULL") + " SELECT section, id, name, 0.8::DOUBLE AS weight FROM mt",
     ),
     "document_links": (
         lambda s, d: R.document_links(section_texts(s, d), N(s, d, "type", "name", "repo", "deleted_at")),
@@ -207,7 +207,7 @@ im AS (SELECT DISTINCT repo, file_path AS path, name AS import_path FROM facts W
 ba AS (SELECT *, CASE WHEN regexp_matches(import_path, '^\\.\\.?/') THEN array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(regexp_replace(path, '[^/]*$', '') || import_path, '/'), lambda x: [x])), lambda acc, x: CASE WHEN x[1] IN ('.', '') THEN acc WHEN x[1] = '..' THEN acc[:-2] ELSE acc || x END), '/') END AS base FROM im),
 tr AS (SELECT repo, path, import_path, unnest(list_transform({X_PROBES}, lambda p: base || p)) AS target, unnest(range(1, 8)) AS k FROM ba WHERE base IS NOT NULL),
 hi AS (SELECT tr.repo, tr.path, import_path, fi.id AS dst FROM tr JOIN fi ON fi.repo = tr.repo AND fi.path = tr.target QUALIFY row_number() OVER (PARTITION BY tr.repo, tr.path, import_path ORDER BY k, fi.id) = 1)
-SELECT DISTINCT 'file:' || ba.repo || ':' || ba.path AS src, coalesce(dst, 'module:' || ba.repo || ':' || ba.import_path) AS dst, dst IS NULL AS unresolved, CASE WHEN dst IS NULL THEN 0.7 ELSE 1.0 END AS weight FROM ba LEFT JOIN hi USING (repo, path, import_path)""",
+SELECT DISTINCT 'file:' || ba.repo || ':' || ba.path AS src, coalesce(dst, 'module:' || ba.repo || ':' || ba.import_path) AS dst, dst IS NULL AS unresolved, (CASE WHEN dst IS NULL THEN 0.7 ELSE 1.0 END)::DOUBLE AS weight FROM ba LEFT JOIN hi USING (repo, path, import_path)""",
     ),
     "containing_scope": (
         scopes,
