@@ -272,3 +272,21 @@ def test_no_overlaps(spark, field):
         spans = field.decode(r["text"])
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
         assert all(re.search(r"\S", r["text"][a:b]) for a, b, _, _ in spans)
+
+
+# ---- samples for fitting
+def test_bounded_sample(spark):
+    from graphloom.llm.sampling import bounded
+
+    df = spark.range(5000)
+    rows = bounded(df, F.col("id"), [F.col("id")], 100)
+    assert len(rows) == 100 and rows == bounded(df.repartition(7), F.col("id"), [F.col("id")], 100)
+    assert len(bounded(spark.range(30), F.col("id"), [F.col("id")], 100)) == 30
+    assert bounded(spark.range(0), F.col("id"), [F.col("id")], 100) == []
+
+
+def test_one_size_for_all_items(spark):
+    """A third and more of all items of one size: they are ranked in salted groups and fill whole containers."""
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(" ".join(["word"] * 64)).alias("text"))
+    out = packing.pack(docs, spark.createDataFrame([("c", 512)], "container_type string, capacity_tokens int"))
+    assert values(out.groupBy("container_no").agg(F.sum("n_tokens").alias("n")).groupBy("n").count()) == [(512, 250)]
