@@ -180,7 +180,7 @@ def evidence(nodes: DataFrame, references: DataFrame) -> DataFrame:
         known = reference_shingles(shared.value)
         for batch in batches:
             texts, paths = batch.column("text").to_pylist(), batch.column("path").to_pylist()
-            e = np.array([text_evidence((t or "").replace("\r", ""), p.rpartition("/")[2], known) for t, p in zip(texts, paths, strict=True)]).reshape(-1, 5)
+            e = np.array([text_evidence((t or "").removeprefix("\ufeff").replace("\r", ""), p.rpartition("/")[2], known) for t, p in zip(texts, paths, strict=True)]).reshape(-1, 5)
             keep = [batch.column(c) for c in ("id", "repo", "path")]
             yield pa.RecordBatch.from_arrays([*keep, *(pa.array(e[:, k]) for k in range(5))], names=["id", "repo", "path", *E])
 
