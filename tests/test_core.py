@@ -13,6 +13,7 @@ from graphloom.functions import text as X
 from graphloom.operators import enrich, lifecycle, references, resolve, search, snapshots, traversal
 from graphloom.operators import graph as G
 from graphloom.sources import extract, files
+from graphloom.sources.tables import clean_path
 from graphloom.streaming.ingest import GraphStream
 
 SNAP = "repo string, snapshot_no int, id string, type string, name string, language string, file_path string, line_range struct<start:int,end:int>, signature string, file_hash string, layer string, complexity string, tags array<string>, first_seen_commit string, last_seen_commit string, loaded_at timestamp_ntz"
@@ -243,6 +244,74 @@ def test_markdown(spark):
     assert values(extract.links(docs)) == [(1, "a", "docs/api.md"), (1, "b", "https://h.example/x")]
 
 
+SCRIPT = """import { a } from './a'
+export class Relay extends Base {
+  private items = new Map();
+  constructor(limit) {
+    super(limit);
+  }
+  mergeRelay(source, limit) {
+    if (source) {
+      call(source, () => {
+        other(limit);
+      });
+    }
+    for (const x of source) { use(x); }
+    call(
+      source, (x) => {
+        return x;
+      });
+  }
+  static async fetchAll(
+    url: string,
+    most = size(url),
+  ): Promise<{ a: number }> {
+    return await get(url);
+  }
+  get size(): number { return 1; }
+  *walk() {
+  }
+  onClick = async (e) => {
+  };
+}
+interface Shape {
+  area(): number;
+  parts(n: number): { a: number };
+  wide(n: number): Promise<{ a: number }>;
+}
+export const twice = (x) => x * 2;
+const typed: (x: number) => void = (x) => {
+};
+let old = function (x) { return x; };
+const total = list.map((x) => x);
+const one = x => x;
+/**
+ * example(a) {
+ */
+async function plain() {
+}
+"""
+
+
+def test_methods_and_arrows_of_scripts(spark):
+    rows = [("1", "r", "file", "src/relay.ts", SCRIPT), ("1", "r", "file", "src/relay.js", "const o = {\r\n  open(a) {\r\n  },\r\n};\r\n")]
+    f = extract.facts(spark.createDataFrame(rows, "run_id string, repo string, type string, file_path string, code_snippet string")).where("kind = 'function'")
+    got = {(r["name"], r["line"]) for r in f.where("language = 'typescript'").collect()}
+    assert got == {("mergeRelay", 7), ("fetchAll", 19), ("size", 25), ("walk", 26), ("onClick", 28), ("twice", 36), ("typed", 37), ("old", 39), ("one", 41), ("plain", 45)}
+    assert [(r["name"], r["line"]) for r in f.where("language = 'javascript'").collect()] == [("open", 2)]
+
+
+def test_facts_hold_the_functions_of_raw_nodes(spark):
+    """Every function row of a script that stands in the text of its file is extracted at its line."""
+    raw = spark.read.parquet("/root/testdata/sf0.001/raw_nodes.parquet")
+    f = extract.facts(raw).where("kind = 'function'").select("run_id", "repo", "file_path", "name", "line")
+    at = lambda df: df.withColumn("file_path", clean_path("file_path"))
+    texts = at(raw.where("type = 'file' AND code_snippet IS NOT NULL").select("run_id", "repo", "file_path", F.split("code_snippet", "\n").alias("lines")))
+    want = at(raw.where("type = 'function' AND language IN ('javascript', 'typescript')").select("run_id", "repo", "file_path", "name", F.col("line_range.start").alias("line")))
+    want = want.join(texts, ["run_id", "repo", "file_path"]).where("contains(get(lines, line - 1), name)").drop("lines").distinct()
+    assert want.count() > 10 and want.join(f, ["run_id", "repo", "file_path", "name", "line"], "left_anti").count() == 0
+
+
 def test_files_and_changes(spark, tmp_path):
     for p in ("src/a.ts", "src/b.py", "node_modules/c.ts", "readme.md"):
         os.makedirs(tmp_path / os.path.dirname(p), exist_ok=True)
