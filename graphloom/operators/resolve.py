@@ -6,7 +6,7 @@ them only when their measured size allows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import collapse
@@ -95,18 +95,20 @@ def test_links(calls: DataFrame, nodes: DataFrame, least: float = 0.5) -> DataFr
     return by_call.unionByName(by_name).unionByName(by_path).groupBy("src", "dst").agg(F.max("weight").alias("weight")).where(F.col("weight") >= least)
 
 
+# Fixed value: the confidence of a link between a section and a symbol that it names.
+UNJUDGED = 0.5
+
+
 def document_links(sections: DataFrame, nodes: DataFrame, least: float = 0.3) -> DataFrame:
-    """(src, dst, confidence): sections that name a class or function of their repo; the more names, the less each counts."""
+    """(src, dst, confidence): sections that name a class or function of their repo.
+
+    Every pair has UNJUDGED as its confidence, whatever else its section names, as long as no classifier judges it.
+    """
     from graphloom.operators.search import name_matches
 
     names = nodes.where("deleted_at IS NULL AND type IN ('class', 'function')").select("id", "name", "repo")
     found = name_matches(sections, "section", F.col("text"), names, "repo")
-    w = Window.partitionBy("section")
-    return (
-        found.withColumn("n", F.count(F.lit(1)).over(w))
-        .select(F.col("section").alias("src"), F.col("id").alias("dst"), F.round(F.lit(1.0) / F.sqrt("n"), 6).alias("confidence"))
-        .where(F.col("confidence") >= least)
-    )
+    return found.select(F.col("section").alias("src"), F.col("id").alias("dst"), F.lit(UNJUDGED).alias("confidence")).distinct().where(F.col("confidence") >= least)
 
 
 def call_sites(edges: DataFrame, edge_types=("CALLS",)) -> DataFrame:

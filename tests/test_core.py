@@ -145,6 +145,14 @@ def test_import_resolution(spark):
     ]
 
 
+def test_document_links_of_many_names(spark):
+    """A section keeps every link however many names and homonyms it has."""
+    nodes = spark.createDataFrame([(f"function:r:f{k}.py:helper{k % 20}", "function", f"helper{k % 20}", "r", None) for k in range(40)], "id string, type string, name string, repo string, deleted_at timestamp")
+    texts = spark.createDataFrame([("long", "r", " ".join(f"helper{k}" for k in range(20))), ("short", "r", "see helper1.")], "section string, repo string, text string")
+    got = resolve.document_links(texts, nodes).groupBy("src").agg(F.count("dst").alias("n"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
+    assert {tuple(r) for r in got.collect()} == {("long", 40, 0.5, 0.5), ("short", 2, 0.5, 0.5)}
+
+
 def test_innermost_scope(spark):
     s = spark.createDataFrame([("x", "r", "p", 5)], "site string, repo string, path string, line int")
     held = spark.createDataFrame([("big", "r", "p", 1, 9), ("small", "r", "p", 4, 6), ("off", "r", "p", 6, 7)], "scope string, repo string, path string, start int, end int")
