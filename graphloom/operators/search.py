@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import cut
+from graphloom.session import cut, spread
 
 K1, B, RRF = 1.2, 0.75, 60
 BLOCK = 2048
@@ -49,6 +51,97 @@ def bm25(docs: DataFrame, key: str, text: Column, queries: DataFrame, most: int
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def bm25_texts(docs: DataFrame, key: str, text: Column, queries: DataFrame, most: int = 10) -> DataFrame:
+    """The same as ``bm25`` for queries that are whole texts, which share words with nearly every document.
+
+    No row for each pair is made: the queries go block by block, as in ``knn``, and each batch of documents meets a block
+    as one matrix of scores, in frequent terms by a product of matrices and in the others posting by posting.
+    """
+    d = docs.select(F.col(key).alias("k"), terms(text).alias("words"))
+    q = queries.select("query", F.array_distinct(terms(F.col("q"))).alias("words")).where(F.size("words") > 0)
+    total = d.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("words")).alias("mean")).collect()[0]
+    n, mean = total["docs"], total["mean"] or 1.0
+    asked = q.count()
+    blocks = max(1, -(-asked // BLOCK))
+    df = d.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if blocks > 1:
+        q, df = cut(q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))), cut(df)
+    kinds, kind = dict(docs.dtypes)[key], dict(queries.dtypes)["query"]
+    out: DataFrame | None = None
+    for b in range(blocks):
+        part = q if blocks == 1 else q.where(F.col("block") == b)
+        known = {r["term"]: r["df"] for r in df.join(part.select(F.explode("words").alias("term")).distinct(), "term", "left_semi").collect()}
+        rows = part.select("query", "words").collect()
+        block = QueryBlock([r["query"] for r in rows], [r["words"] for r in rows], known, n, mean, most)
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # bounded by the words of BLOCK queries
+
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            yield from shared.value.ranked(batches)
+
+        scored = spread(d).mapInArrow(best, f"query {kind}, k {kinds}, score double")
+        out = scored if out is None else out.unionByName(scored)
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "k")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).withColumnRenamed("k", key)
+
+
+class QueryBlock:
+    """The terms of some queries, and the scores of documents against all of them."""
+
+    ROWS = 512  # documents taken at once
+    FREQUENT = 0.02  # share of the documents from which a term counts as frequent
+
+    def __init__(self, names: list, words: list[list[str]], df: dict[str, int], n: int, mean: float, most: int):
+        self.names, self.mean, self.most = names, mean, most
+        self.terms = sorted((t for t in df), key=lambda t: (-df[t], t))
+        self.dense = sum(df[t] >= max(2, self.FREQUENT * n) for t in self.terms)
+        at = {t: k for k, t in enumerate(self.terms)}
+        counts = np.array([df[t] for t in self.terms], np.float64)
+        self.idf = np.log(1 + (n - counts + 0.5) / (counts + 0.5))
+        pairs = sorted((at[t], j) for j, ws in enumerate(words) for t in ws if t in at)
+        term, self.query = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        self.start = np.searchsorted(term, np.arange(len(self.terms) + 1))
+
+    def ranked(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What may be among the best of a query, batch by batch: nothing below the best that were seen before it."""
+        if not self.terms:
+            return
+        m, known = len(self.names), pa.array(self.terms)
+        names = pa.array(self.names)
+        matrix = np.zeros((self.dense, m))
+        inside = slice(0, self.start[self.dense])
+        matrix[np.repeat(np.arange(self.dense), np.diff(self.start[: self.dense + 1])), self.query[inside]] = 1.0
+        top = np.zeros((m, self.most))
+        for batch in batches:
+            for low in range(0, batch.num_rows, self.ROWS):
+                rows = batch.slice(low, self.ROWS)
+                score = np.round(self.scores(rows.column(1), known, matrix), 6)
+                merged = np.concatenate([top, score.T], axis=1)
+                top = np.partition(merged, -self.most, axis=1)[:, -self.most :]
+                i, j = np.nonzero((score >= top.min(axis=1)) & (score > 0))  # ties at the edge all go on; the window settles them
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), rows.column(0).take(pa.array(i)), pa.array(score[i, j])], names=["query", "k", "score"])
+
+    def scores(self, words: pa.ListArray, known: pa.Array, matrix: np.ndarray) -> np.ndarray:
+        """Documents by queries."""
+        n, m, v = len(words), len(self.names), len(self.terms)
+        size = np.nan_to_num(pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.float64))
+        doc = np.repeat(np.arange(n), size.astype(np.int64))
+        term = pc.fill_null(pc.index_in(words.flatten(), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        cell, tf = np.unique((doc * v + term)[term >= 0], return_counts=True)
+        doc, term = cell // v, cell % v
+        weight = self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[doc] / self.mean))
+        often = term < self.dense
+        left = np.zeros((n, self.dense))
+        left[doc[often], term[often]] = weight[often]
+        out = left @ matrix
+        doc, term, weight = doc[~often], term[~often], weight[~often]
+        times = self.start[term + 1] - self.start[term]
+        if times.sum():
+            first = np.repeat(self.start[term] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
+            asked = self.query[first + np.arange(len(first))]
+            out += np.bincount(np.repeat(doc, times) * m + asked, np.repeat(weight, times), n * m).reshape(n, m)
+        return out
+
+
 def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, most: int = 10) -> DataFrame:
     """(query, key, score, rank): the nearest rows to each query (query, vector) by cosine, score (1 + cos) / 2.
 

@@ -215,6 +215,36 @@ def test_bm25_orders_by_term_frequency(spark):
     assert [r["id"] for r in search.bm25(docs, "id", F.col("t"), q).orderBy("rank").collect()] == [2, 1]
 
 
+def test_whole_texts_as_queries(spark, monkeypatch):
+    """The same ranks as brute force over whole texts, in one block of queries or several."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    from graphloom.plans import traversal_queries
+
+    texts = {k: " ".join(f"Wort{(k * j * j + j) % 41}é, {j % 7}" for j in range(3 + k % 23)) for k in range(120)} | {120: "", 121: "é", 122: "Short, 12 Café"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(traversal_queries, "table", lambda s, d, t: docs)
+    assert {r["q"] for r in traversal_queries.text_queries(spark, "").collect()} == {texts[0], texts[50], texts[100]}
+    words = {k: [w for w in re.split(r"[\W_]+", t.lower()) if w] for k, t in texts.items()}
+    df, mean = Counter(w for ws in words.values() for w in set(ws)), sum(map(len, words.values())) / len(words)
+    want = []
+    for q in range(0, 123, 2):
+        score = defaultdict(float)
+        for k, ws in words.items():
+            for w in set(words[q]) & set(ws):
+                tf = ws.count(w)
+                score[k] += math.log(1 + (len(words) - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+        want += [(q, k, rank) for rank, (k, _) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:10], 1)]
+    asked = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("query"), F.col("text").alias("q"))
+    for block, rare in ((2048, 0.02), (16, 0.5)):
+        monkeypatch.setattr(search, "BLOCK", block)
+        monkeypatch.setattr(search.QueryBlock, "FREQUENT", rare)
+        got = search.bm25_texts(docs, "doc_id", F.col("text"), asked)
+        assert sorted((r["query"], r["doc_id"], r["rank"]) for r in got.collect()) == sorted(want)
+
+
 def test_upserts(spark):
     raw = spark.createDataFrame(
         [("run", "class", "A", "go", "src/models/a.go", "r", (1, 2), None, None, {}, T[1]), ("run", "class", "A", "go", "src\\models\\a.go", "r", (3, 4), None, None, {}, T[2]), ("run", "endpoint", "e", "go", "x", "r", None, None, None, {}, T[2])],
