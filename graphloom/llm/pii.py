@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.sampling import bounded
-from graphloom.session import spread
+from graphloom.session import cut, spread
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 SAMPLE = 9000
@@ -77,7 +77,7 @@ Candidate = tuple[int, int, str, str]  # start, end, kind, form
 
 
 class Lexicon:
-    """Given names (also in lower case, as an automaton); common words and fixed phrases of the sample."""
+    """Given names (also in lower case, as an automaton); common words and fixed phrases of the corpus."""
 
     def __init__(self, given: list[str], common: set[str], fixed: set[str] = frozenset()):
         self.given, self.common, self.fixed = set(given), common, fixed
@@ -188,6 +188,19 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
         if not m.group()[1:].isdigit():
             out.append((m.start(), m.end(), "id_number", "serial"))
     out += [(m.start(), m.end(), "street_address", m.lastgroup) for m in streets]
+    out += runs(text)
+    for m in SURNAME_FIRST.finditer(text):
+        out.append((m.start(), m.end(), "person_name", "surname_first"))
+    out += lower_names(text, lex)
+    for m in LOWER_INITIAL.finditer(text):
+        out.append((m.start(), m.end(), "person_name", "lower_initial"))
+    out.sort()
+    return out
+
+
+def runs(text: str) -> list[Candidate]:
+    """Names in runs of capitalised words."""
+    out: list[Candidate] = []
     for m in RUN.finditer(text):
         parts = [(m.start() + p.start(), m.start() + p.end()) for p in PART.finditer(m.group())]
         for i in range(len(parts) - 1):
@@ -196,15 +209,16 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
                     continue
                 form = "initial" if text[parts[i][1] - 1] == "." else "given"
                 out.append((parts[i][0], parts[j][1], "person_name", form))
-    for m in SURNAME_FIRST.finditer(text):
-        out.append((m.start(), m.end(), "person_name", "surname_first"))
+    return out
+
+
+def lower_names(text: str, lex: Lexicon) -> list[Candidate]:
+    """Names in lower case that begin with a given name."""
+    out: list[Candidate] = []
     for a, b in lex.hits(text):
         m = LOWER_TAIL.match(text, b)
         if m:
             out.append((a, m.end(), "person_name", "lower"))
-    for m in LOWER_INITIAL.finditer(text):
-        out.append((m.start(), m.end(), "person_name", "lower_initial"))
-    out.sort()
     return out
 
 
@@ -402,37 +416,111 @@ EXAMPLES = [
 ]
 
 
-def fit(texts: list[str], given: list[str]) -> Field:
-    """Fit the field on the certain neighbourhoods of the texts by conditional likelihood (AdaGrad)."""
-    texts = [*texts, *EXAMPLES]
+MOST_WORDS = 500_000  # entries of a list that all workers share
+
+
+def tally(text: str, lex: Lexicon, words: Counter[str], named: Counter[tuple[str, str, str]]) -> None:
+    """Count the tokens of a text, its pairs of given name and surname, and the given names that a cue announces."""
+    words.update(TOKEN.findall(text))
+    for c in (*runs(text), *lower_names(text, lex)):
+        if c[3] in ("given", "lower"):
+            g, s = name_parts(text, c)
+            named["pair", g.lower(), s.lower()] += 1
+            if c[3] == "given" and NAME_CUE.search(text[max(0, c[0] - 40) : c[0]]):
+                named["cued", g, s.lower()] += 1
+
+
+def counted(documents: DataFrame, given: list[str]) -> DataFrame:
+    """(kind, a, b, n): the counts of ``tally`` over all different texts, and their number."""
+    spark = documents.sparkSession
+    texts = documents.where("text IS NOT NULL").select("text").unionByName(spark.createDataFrame([(t,) for t in EXAMPLES], "text string")).distinct()
+    shared = spark.sparkContext.broadcast(Lexicon(given, set()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, texts = shared.value, 0
+        words: Counter[str] = Counter()
+        named: Counter[tuple[str, str, str]] = Counter()
+
+        def emit() -> pa.RecordBatch:
+            rows = [("word", w, "", n) for w, n in words.items() if len(w) > 2 and w.islower()] + [(*k, n) for k, n in named.items()] + [("text", "", "", texts)]
+            words.clear()
+            named.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["kind", "a", "b", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                tally(t, lex, words, named)
+                texts += 1
+                if len(words) + len(named) > 300_000:
+                    yield emit()
+                    texts = 0
+        yield emit()
+
+    return texts.mapInArrow(run, "kind string, a string, b string, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def listed(rows: DataFrame) -> list:
+    """The rows of a list that is small by its thresholds; one that is not is refused, never cut."""
+    out = rows.limit(MOST_WORDS + 1).collect()
+    if len(out) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} entries in a shared list")
+    return out
+
+
+def lexicon(documents: DataFrame, given: list[str], per: int = SAMPLE) -> Lexicon:
+    """Common words, fixed phrases and given names that the table lacks, from all texts.
+
+    Thresholds are numbers per ``per`` texts, so that a corpus of any size has the same lists but for less chance; that of
+    fixed phrases grows with the root only, as more texts tell them better from names, and a rare given name is also taken
+    if a cue announces a tenth of its places.
+    """
+    counts = cut(counted(documents, given))
+    scale = max(1.0, (counts.where("kind = 'text'").agg(F.sum("n")).collect()[0][0] or 0) / per)
+    common = counts.where("kind = 'word'").where(F.col("n") >= int(8 * scale)).select("a")
+    pairs, cued = counts.where("kind = 'pair'"), counts.where("kind = 'cued'")
+    # A name meets many partners, a fixed phrase of two capitalised words always the same one.
+    phrase = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("top"), F.sum("n").alias("total")).where((F.col("top.n") >= int(5 * scale**0.5)) & (F.col("total") - F.col("top.n") < int(scale)))
+    # Given names that the table lacks: first words in telling places, before several surnames.
+    free = pairs.join(phrase.select("b"), "b", "left_anti").groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
+    places = pairs.groupBy("a").agg(F.sum("n").alias("places"))
+    told = cued.join(common.select(F.col("a").alias("b")), "b", "left_anti").groupBy(F.col("a").alias("g")).agg(F.sum("n").alias("n")).where("n >= 2").withColumn("a", F.lower("g"))
+    new = told.join(free, "a").join(places, "a").where("partners >= 2").where((F.col("n") >= int(2 * scale)) | (F.col("n") >= 0.1 * F.col("places")))
+    names = sorted({p for r in listed(new.select("g")) for p in r[0].split("-")})
+    return Lexicon([*given, *names], {r[0] for r in listed(common)}, {f"{r[0]} {r[1]}" for r in listed(phrase.select("top.a", "b"))})
+
+
+def sample_lexicon(texts: list[str], given: list[str]) -> Lexicon:
+    """The same lists from texts in memory."""
     words: Counter[str] = Counter()
+    named: Counter[tuple[str, str, str]] = Counter()
+    plain = Lexicon(given, set())
     for t in texts:
-        words.update({w for w in TOKEN.findall(t) if w.islower()})
-    lex = Lexicon(given, {w for w, n in words.items() if n >= 8 and len(w) > 2})
-    # A name meets many partners, a fixed phrase of two capitalised words always the same one.
-    pairs: Counter[tuple[str, str]] = Counter()
-    cued: Counter[str] = Counter()
+        words.update(TOKEN.findall(t))
+    for t in dict.fromkeys(texts):
+        tally(t, plain, Counter(), named)
+    common = {w for w, n in words.items() if n >= 8 and len(w) > 2 and w.islower()}
+    partners: dict[tuple[int, str], set[str]] = defaultdict(set)
+    told: Counter[str] = Counter()
+    for (kind, g, s), n in named.items():
+        if kind == "pair":
+            partners[0, g].add(s)
+            partners[1, s].add(g)
+        elif s not in common:
+            told[g] += n
+    fixed = {f"{g} {s}" for (kind, g, s), n in named.items() if kind == "pair" and n >= 5 and len(partners[1, s]) == 1}
+    new = [p for g, n in told.items() if n >= 2 and len(partners[0, g.lower()] - {x.split(" ")[1] for x in fixed}) >= 2 for p in g.split("-")]
+    return Lexicon([*given, *new], common, fixed)
+
+
+def fit(texts: list[str], given: list[str], lex: Lexicon | None = None) -> Field:
+    """Fit the field on the certain neighbourhoods of the texts by conditional likelihood (AdaGrad).
+
+    ``lex`` has the word lists of the whole corpus; without it they come from the texts.
+    """
+    texts = [*texts, *EXAMPLES]
+    lex = lex or sample_lexicon(texts, given)
     texts = list(dict.fromkeys(texts))
     spans = [candidates(t, lex) for t in texts]
-    for t, found in zip(texts, spans, strict=True):
-        for c in found:
-            if c[2] == "person_name" and c[3] in ("given", "lower"):
-                g, s = name_parts(t, c)
-                pairs[g.lower(), s.lower()] += 1
-                if c[3] == "given" and NAME_CUE.search(t[max(0, c[0] - 40) : c[0]]) and s.lower() not in lex.common:
-                    cued[g] += 1
-    partners: dict[tuple[int, str], set[str]] = defaultdict(set)
-    for g, s in pairs:
-        partners[0, g].add(s)
-        partners[1, s].add(g)
-    fixed = {f"{g} {s}" for (g, s), n in pairs.items() if n >= 5 and len(partners[1, s]) == 1}
-    # Given names that the table lacks: first words in telling places, before several surnames.
-    new = [p for g, n in cued.items() if n >= 2 and len(partners[0, g.lower()] - {x.split(" ")[1] for x in fixed}) >= 2 for p in g.split("-")]
-    lex = Lexicon([*given, *new], lex.common, fixed)
-    more = Lexicon(new, set())
-    for k, t in enumerate(texts):  # new names add candidates only where they stand in lower case
-        if next(more.hits(t), None):
-            spans[k] = candidates(t, lex)
     problems: Counter = Counter()
     for t, found in zip(texts, spans, strict=True):
         for group in clusters(found):
@@ -501,15 +589,15 @@ def likelihood(problems: Counter) -> dict[str, float]:
 
 
 def train(documents: DataFrame, given_names: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on at most ``sample`` texts chosen by hash (a bounded driver-side sample, used for nothing but the weights)."""
+    """Fit on at most ``sample`` texts chosen by hash (a bounded driver-side sample, used for nothing but the weights; the word lists come from all texts)."""
     rows = bounded(documents.where("text IS NOT NULL AND length(text) BETWEEN 20 AND 6000"), F.concat_ws("|", "doc_id", "text"), [F.col("text")], sample)
-    names = [r[0] for r in given_names.where("given_name IS NOT NULL").select("given_name").distinct().limit(20_000).collect()]
-    return fit([r[0] for r in rows], sorted(names))
+    names = sorted(r[0] for r in listed(given_names.where("given_name IS NOT NULL").select("given_name").distinct()))
+    return fit([r[0] for r in rows], names, lexicon(documents, names))
 
 
 def judged(documents: DataFrame, field: Field, with_text: bool = False) -> DataFrame:
     """(doc_id, entities array<struct<start, kind, found_text>>[, redacted]) of every text."""
-    # Bounded by the sample: the weights and word lists of at most SAMPLE texts.
+    # Weights bounded by the sample, word lists by their thresholds and MOST_WORDS.
     shared = documents.sparkSession.sparkContext.broadcast((field.w, field.lex))
     kind = dict(documents.dtypes)["doc_id"]
     entity = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("found_text", pa.string())]))

@@ -290,3 +290,18 @@ def test_one_size_for_all_items(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit(" ".join(["word"] * 64)).alias("text"))
     out = packing.pack(docs, spark.createDataFrame([("c", 512)], "container_type string, capacity_tokens int"))
     assert values(out.groupBy("container_no").agg(F.sum("n_tokens").alias("n")).groupBy("n").count()) == [(512, 250)]
+
+
+def test_word_lists_cover_all_texts(spark):
+    """Common words, fixed phrases and new given names come from all texts, not from the sample of the weights."""
+    texts = [f"Thanks to Zorvina {x} for review {k}." for k, x in enumerate(("Kelmhurst", "Ostrander", "Halvorsen"))] + ["ask zorvina kelmhurst about it"]
+    texts += [f"Case {k}: the Trial Window ends" for k in range(9)] + [f"nothing else in text {k}" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = spark.createDataFrame([("Alice",)], "given_name string")
+    field = pii.train(docs, names, 1)
+    assert "zorvina" in field.lex.lower and "trial window" in field.lex.fixed and {"nothing", "ends"} <= field.lex.common
+    assert any(c[2:] == ("person_name", "lower") for c in pii.candidates(texts[3], field.lex))
+    own = pii.sample_lexicon([*texts, *pii.EXAMPLES], ["Alice"])
+    assert (own.given, own.common, own.fixed) == (field.lex.given, field.lex.common, field.lex.fixed)
+    rare = pii.lexicon(docs, ["Alice"], 20)
+    assert "trial window" not in rare.fixed and "nothing" in rare.common and "ends" not in rare.common and "Zorvina" in rare.given
