@@ -8,7 +8,7 @@ table; then the new hashes become the index.  Two forms share the hash and the r
   one at a time;
 * ``replay`` runs through a table that already holds all snapshots.  Every bucket is sorted by key and snapshot and
   walked once: the preceding row of the key is what the index holds when the snapshot is probed.  All repos and all
-  snapshots take one shuffle of (key, 128-bit hash) rows.
+  snapshots take two shuffles of (key, 128-bit hash) rows, the second after repeated rows are gone.
 
 Defined results: rows with a null id or an unlisted snapshot are ignored; of repeated rows the latest loaded_at counts
 (nulls first; equal times fall back to the larger hash); a listed snapshot without rows removes everything; empty
@@ -78,7 +78,7 @@ def ordinals(snapshots: DataFrame) -> DataFrame:
 
 def replay(node_snapshots: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(repo, snapshot_no, id, change_kind) of every pair of consecutive snapshots of every repo."""
-    buckets = latest(hashed(node_snapshots).repartition(*KEY), "snapshot_no")
+    buckets = latest(hashed(node_snapshots), "snapshot_no")  # repeated rows shrink before they are shuffled
     w = Window.partitionBy(*KEY).orderBy("snapshot_no")
     probed = buckets.join(ordinals(snapshots), ["repo", "snapshot_no"]).withColumns({
         "held": F.lag(F.struct("ord", "h1", "h2")).over(w), "coming": F.lead("ord").over(w),

@@ -44,6 +44,12 @@ def test_snapshot_changes(spark):
     assert found == [("r", 7, "b", "removed"), ("r", 7, "c", "added"), ("r", 8, "a", "changed"), ("r", 8, "c", "changed"), ("r", 8, "s/x", "removed")]
 
 
+def test_repeated_rows_shrink_before_the_shuffle(spark):
+    rows = spark.createDataFrame([snap(1, "a") for _ in range(8)], SNAP)
+    plan = snapshots.replay(rows, numbers(spark, 1, 2))._jdf.queryExecution().sparkPlan().toString()
+    assert "RepartitionByExpression" not in plan and "REPARTITION" not in plan and "partial_max" in plan
+
+
 def test_snapshot_empty_and_extra(spark):
     none = spark.createDataFrame([], SNAP)
     assert values(snapshots.replay(none, numbers(spark, 1, 2))) == []
