@@ -132,6 +132,61 @@ def test_propagation_equals_enumeration(spark):
         assert np.allclose(b - b[0], total[k] - total[k][0], atol=1e-6)
 
 
+def test_contraction_equals_messages_level_by_level(spark):
+    """Beliefs on bushy trees and on a run of 90 folders against messages passed one edge at a time."""
+    rng = np.random.default_rng(3)
+    paths = ["/".join(rng.choice(["a", "b", "vendor"], rng.integers(0, 5)).tolist() + [f"f{k}.py"]) for k in range(40)]
+    paths += ["/".join(f"d{i}" for i in range(90)) + "/deep.py", "/".join(f"d{i}" for i in range(45)) + "/half.py", "/".join(f"d{i}" for i in range(90)) + "/end.go"]
+    e = rng.normal(size=(len(paths), 5)) * 2
+    rows = [(p, "r", p, p.rpartition(".")[2], *map(float, x)) for p, x in zip(paths, e, strict=True)]
+    found = {r["id"]: np.array([r[b] for b in provenance.B]) for r in provenance.propagate(spark.createDataFrame(rows, "id string, repo string, path string, extension string, " + ", ".join(f"{c} double" for c in provenance.E))).collect()}
+
+    def log_times(m, v):
+        return np.log(m @ np.exp(v - v.max())) + v.max()
+
+    names = sorted({d for p in paths for d in ["/".join(p.split("/")[:k]) for k in range(p.count("/") + 1)]})
+    own = {r["d"]: np.array([r[f"c{k}"] for k in range(5)]) for r in spark.createDataFrame([(d, d.rpartition("/")[2], d.count("/") + 1 if d else 0) for d in names], "d string, name string, depth int").select("d", *[c.alias(f"c{k}") for k, c in enumerate(provenance.directory_evidence(F.col("name"), F.col("depth")))]).collect()}
+    up, parent = {("d", d): own[d].copy() for d in names}, {("d", d): ("d", d.rpartition("/")[0]) for d in names if d}
+    for p, x in zip(paths, e, strict=True):
+        d = p.rpartition("/")[0]
+        up["f", p], parent["f", p], parent["g", d, p[-3:]] = x.copy(), ("g", d, p[-3:]), ("d", d)
+        up.setdefault(("g", d, p[-3:]), np.zeros(5))
+    order = sorted(up, key=lambda k: (k[1].count("/") + (k[1] != ""), "dgf".index(k[0])) if k[0] != "f" else (10**6, 0))
+    for k in reversed(order):
+        if k in parent:
+            up[parent[k]] += log_times(provenance.COMPATIBLE, up[k])
+    belief = {}
+    for k in order:
+        belief[k] = up[k] + (log_times(provenance.COMPATIBLE.T, belief[parent[k]] - log_times(provenance.COMPATIBLE, up[k])) if k in parent else provenance.ROOT)
+    for p in paths:
+        want = belief["f", p]
+        assert np.allclose(found[p] - found[p][0], want - want[0], atol=1e-6), p
+
+
+def test_references_beyond_the_shared_size(spark):
+    """The join on shingles gives the evidence that shared references give."""
+    refs = spark.createDataFrame([(k, LIBRARY.replace("alpha", f"alpha{k}")) for k in range(30)] + [(99, None), (98, "x")], "item_id int, code_snippet string")
+    rows = [("v", "file", "r", "src/copied.py", LIBRARY.replace("7", "8")), ("h", "file", "r", "src/own.py", HAND), ("n", "file", "r", "src/null.py", None), ("t", "file", "r", "src/tiny.py", "a b"), ("half", "file", "r", "src/half.py", LIBRARY[:170] + HAND)]
+    df = spark.createDataFrame(rows, NODES)
+    shared, joined = (values(provenance.evidence(df, refs, n)) for n in (10**6, 0))
+    assert shared == joined and {r[0] for r in shared if r[6] > 7} == {"v"}
+
+
+def test_headers_are_learned_from_where_files_lie(spark):
+    """A house header with a licence word is no sign of a library; one that library folders carry is."""
+    house = "# Copyright Fernway Mills. All rights reserved, licence on request.\n"
+    rows = [(f"h{k}", "file", "r", f"src/m{k % 5}/h{k}.py", house + HAND.replace("key", f"key{k}")) for k in range(30)] + [(f"l{k}", "file", "r", f"vendor/p{k}/x.py", f"# p{k} 1.{k}.0, redistributed as in NOTICE\n" + HAND.replace("path", f"path{k}")) for k in range(8)]
+    rows += [("in", "file", "r", "src/m1/odd.py", "# tarq 2.4.1, redistributed as in NOTICE\n" + HAND)]
+    e3 = {r["id"]: r["e3"] for r in provenance.evidence(spark.createDataFrame(rows, NODES), spark.createDataFrame([], "code_snippet string")).collect()}
+    assert max(e3[f"h{k}"] for k in range(30)) < 0 and min(e3[f"l{k}"] for k in range(8)) > 1 and e3["in"] > 1
+
+
+def test_a_mark_below_a_long_banner(spark):
+    banner = "/*\n" + "".join(f"line {k} of the terms\n" for k in range(20)) + "Code generated by idlc. DO NOT EDIT.\n*/\n"
+    e, _ = provenance.text_evidence(banner + "int a;\n", "a.java", None)
+    assert e[1] > 1
+
+
 # ---- 6
 def reference_encoder():
     import public_tokenizers
