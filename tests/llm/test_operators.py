@@ -241,6 +241,44 @@ def test_boundaries_are_optimal():
         assert padding(sizes, counts, ends, capacity) == best
 
 
+def unused(p, sizes, counts, capacity):
+    return 1 - sum(s * c for s, c in zip(sizes, counts, strict=True)) / (p.containers * capacity)
+
+
+def test_buckets_decide_the_containers():
+    """Other ends give other containers; every plan holds all items within the capacity; little room stays."""
+    rng = np.random.default_rng(8)
+    for capacity in (512, 2048, 2**24):
+        sizes = np.unique(np.minimum(capacity, rng.lognormal(4.5, 1.1, 400).astype(int) + 1))
+        counts = rng.integers(1, 200, len(sizes))
+        own, one = packing.plan(sizes, counts, capacity), packing.plan(sizes, counts, capacity, [int(sizes[-1])])
+        assert len(own.ends) > 1 or capacity == 2**24
+        for p in (own, one):
+            fill = np.zeros(p.containers, np.int64)
+            for s, c in zip(sizes, counts, strict=True):
+                np.add.at(fill, p.container(np.full(c, s), np.arange(c)), s)
+            assert fill.max() <= capacity and fill.min() > 0 and fill.sum() == (sizes * counts).sum()
+        if len(own.ends) > 1:
+            assert any((own.container(np.full(c, s), np.arange(c)) != one.container(np.full(c, s), np.arange(c))).any() for s, c in zip(sizes, counts, strict=True))
+            assert unused(own, sizes, counts, capacity) < 0.02
+
+
+def test_a_hot_size_is_ranked_in_parts(spark, monkeypatch):
+    placed = spark.range(1000).select(F.lit(0).alias("t"), F.col("id").alias("doc_id"), F.lit(0).alias("part_no"), F.lit(0).alias("start_token"), F.when(F.col("id") < 900, 7).otherwise(3).alias("n_tokens"))
+    monkeypatch.setattr(packing, "RANKED", 100)
+    out = packing.ranked(placed, packing.histogram(placed)).toPandas()
+    for size, n in ((7, 900), (3, 100)):
+        assert sorted(out[out.n_tokens == size].nth) == list(range(n))
+    assert out[out.n_tokens == 7].salt.nunique() == 9
+
+
+def test_many_container_types(spark):
+    docs = spark.createDataFrame([(k, "word " * (k % 9)) for k in range(20)], DOC)
+    kinds = spark.createDataFrame([(f"c{k}", 5 + k % 40) for k in range(120)], "container_type string, capacity_tokens int")
+    out = packing.pack(docs, kinds).groupBy("container_type").agg(F.count_distinct("doc_id").alias("n"))
+    assert values(out.groupBy("n").count()) == [(20, 120)]
+
+
 def test_packing(spark, monkeypatch):
     counts = [("a", 512), ("b", 512), ("a", 512), ("z", 0), ("z", -1), (None, 9), ("n", None)]
     rng = random.Random(2)
