@@ -590,7 +590,7 @@ def likelihood(problems: Counter) -> dict[str, float]:
 
 def train(documents: DataFrame, given_names: DataFrame, sample: int = SAMPLE) -> Field:
     """Fit on at most ``sample`` texts chosen by hash (a bounded driver-side sample, used for nothing but the weights; the word lists come from all texts)."""
-    rows = bounded(documents.where("text IS NOT NULL AND length(text) BETWEEN 20 AND 6000"), F.concat_ws("|", "doc_id", "text"), [F.col("text")], sample)
+    rows = bounded(documents, "text IS NOT NULL AND length(text) BETWEEN 20 AND 6000", F.concat_ws("|", "doc_id", "text"), [F.col("text")], sample)
     names = sorted(r[0] for r in listed(given_names.where("given_name IS NOT NULL").select("given_name").distinct()))
     return fit([r[0] for r in rows], names, lexicon(documents, names))
 
