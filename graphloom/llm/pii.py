@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,7 +45,6 @@ CODE = re.compile(
 SERIAL = re.compile(r"(?<![\w.@/#-])[A-Z][A-Z0-9]{8}(?![\w@-])")
 GROUP = re.compile(r"[ \xa0]")
 AT = re.compile(r"@|[ \xa0]?[\[({]at[\])}][ \xa0]?|[ \xa0]AT[ \xa0]|[ \xa0]at[ \xa0](?=[\w-]+[ \xa0]dot[ \xa0])")
-LOCAL = re.compile(r"[\w.+%-]+$")
 DOT = r"(?:\.|[ \xa0]?[\[({]dot[\])}][ \xa0]?|[ \xa0]DOT[ \xa0]|[ \xa0]dot[ \xa0])"
 DOMAIN = re.compile(rf"[\w-]+(?:{DOT}[\w-]+)*")
 # Words for ways, by where they stand.
@@ -55,7 +55,7 @@ PROPER = rf"[{U}][{L}]+(?:[-][{U}][{L}]+)?"
 STREET = re.compile(
     rf"(?<![\w.-])(?P<en>\d{{1,5}}(?:-?[A-Za-z])?[ \xa0](?:{PROPER}[ \xa0]){{1,3}}(?:{AFTER})\b\.?)"
     rf"|(?<![\w.-])(?P<fr>\d{{1,5}}(?:[ ](?:bis|ter|quater))?,?[ ](?:{BEFORE_FR})[ ](?:des?[ ]|du[ ]|de[ ]la[ ]|de[ ]l['’]|d['’])?{PROPER}(?:[ ]{PROPER})?)"
-    rf"|(?<!\w)(?P<es>(?:{BEFORE_ES})[ ](?:d[eao]s?[ ]|del[ ]|de[ ]las?[ ]|de[ ]los[ ])?{PROPER}(?:[ ]{PROPER})?,?[ ](?:n[º°o]\.?[ ])?\d{{1,5}}[A-Za-z]?\b)"
+    rf"|(?<!\w)(?P<es>(?:{BEFORE_ES})[ ](?:d[eao]s?[ ]|del[ ]|de[ ]las?[ ]|de[ ]los[ ])?{PROPER}(?:[ ]{PROPER})?,?[ ](?:n\.?[º°o]\.?[ ])?\d{{1,5}}[A-Za-z]?\b)"
     rf"|(?<!\w)(?P<am>(?:Am|An[ ]der|An[ ]den|Im|In[ ]der|Zum|Zur|Auf[ ]dem|Auf[ ]der|Unter[ ]den|Hinter[ ]dem)[ ]{PROPER}[ ]\d{{1,5}}(?:[ ]?[a-z]\b)?(?:[-–/]\d{{1,5}}[a-z]?)?(?!\w))"
     rf"|(?<!\w)(?P<de>(?:{PROPER}[ ])?{PROPER}(?:straße|strasse|str\.|-Straße|-Weg|weg|gasse|platz|allee|ufer|-Allee|-Platz)[ ]\d{{1,5}}(?:[ ]?[a-z]\b)?(?:[-–/]\d{{1,5}}[a-z]?)?(?!\w))"
     r"|(?P<ja>[぀-ヿ一-鿿]{1,8}[町村区丁目]\d{1,3}(?:-\d{1,3}){1,3}(?!\d))"
@@ -68,6 +68,8 @@ STREET_ANCHORS = [
 ]
 AT_ANCHORS = ["@", *(o + "at" + c for o in "[({" for c in "])}"), " AT ", " at ", "\xa0AT\xa0", "\xa0at\xa0"]
 DIGIT = re.compile(r"\d")
+BEFORE, AFTERWARDS = 7, 9
+MOST_DIGITS = 24  # longer numbers are no numbers of a person
 NAME_BEFORE = re.compile(rf"({NAME})[ \xa0]$")
 WORD_LEFT = re.compile(r"(\w+)?(\W{0,3})$")
 WORD_RIGHT = re.compile(r"(\W{0,3})(\w+)?")
@@ -124,15 +126,22 @@ def anchors():
 
 
 def anchored(text: str) -> tuple[list[re.Match], list[re.Match]]:
-    """The at-signs of a text and its street addresses."""
+    """The at-signs of a text and its street addresses.
+
+    An address has at most BEFORE blanks before its anchor and AFTERWARDS behind it; words may be as long as they like.
+    """
     ats: dict[int, re.Match] = {}
     windows: list[list[int]] = []
+    blanks: list[int] | None = None
     for last, (size, street) in anchors().iter(text):
         at = last - size + 1
         if street:
-            low, high = max(0, at - 70), min(len(text), last + 90)
+            if blanks is None:
+                blanks = [m.start() for m in GROUP.finditer(text)]
+            k, q = bisect_left(blanks, at) - BEFORE, bisect_left(blanks, last) + AFTERWARDS
+            low, high = blanks[k] if k >= 0 else 0, blanks[q] if q < len(blanks) else len(text)
             if windows and low <= windows[-1][1]:
-                windows[-1][1] = high
+                windows[-1][1] = max(high, windows[-1][1])
             else:
                 windows.append([low, high])
         else:
@@ -142,25 +151,31 @@ def anchored(text: str) -> tuple[list[re.Match], list[re.Match]]:
     streets: dict[int, re.Match] = {}
     for low, high in windows:
         if DIGIT.search(text, low, high):
-            while low and text[low - 1].isalnum():
-                low -= 1
             for m in STREET.finditer(text, low, high):
                 streets[m.start()] = m
     return list(ats.values()), list(streets.values())
 
 
+def local_part(text: str, end: int) -> int:
+    """Where the local part of an address begins that ends before the at-sign."""
+    at = end
+    while at and (text[at - 1].isalnum() or text[at - 1] in "_.+%-"):
+        at -= 1
+    return at
+
+
 def candidates(text: str, lex: Lexicon) -> list[Candidate]:
     """All spans that may be entities; spans of one text may overlap."""
     out: list[Candidate] = []
     ats, streets = anchored(text)
     for m in ats:
-        left = LOCAL.search(text, max(0, m.start() - 80), m.start())
+        left = local_part(text, m.start())
         right = DOMAIN.match(text, m.end())
-        if left and right:
+        if left < m.start() and right:
             end = right.end()
             while text[end - 1] in "-_":
                 end -= 1
-            out.append((left.start(), end, "email", "@" if m.group() == "@" else m.group().strip().lower()))
+            out.append((left, end, "email", "@" if m.group() == "@" else m.group().strip().lower()))
     for m in CODE.finditer(text):
         s = m.group()
         if len(s) < 7 or sum(c.isdigit() for c in s) < 6:
@@ -168,14 +183,16 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
         starts = [0, *(g.end() for g in GROUP.finditer(s))]
         ends = [*(g.start() for g in GROUP.finditer(s)), len(s)]
         for a in range(len(starts)):
-            for b in range(a, min(len(ends), a + 9)):
+            for b in range(a, len(ends)):
                 part = s[starts[a] : ends[b]]
                 trimmed = part.rstrip(" .-/(\xa0")
                 digits = sum(c.isdigit() for c in trimmed)
+                if digits > MOST_DIGITS:
+                    break
                 if trimmed[-2:-1] in (" ", "\xa0") and trimmed[-1].isalpha() and not trimmed[0].isalpha():
                     continue  # the first word of the next sentence
                 letters = sum(c.isalpha() for c in trimmed)
-                if digits + letters < 7 or digits < 6 or digits > 18:
+                if digits + letters < 7 or digits < 6:
                     continue
                 at = m.start() + starts[a]
                 if not trimmed[0].isalpha():
@@ -348,17 +365,20 @@ class Field:
 
 
 # ---- labelling rules: what is certain enough to learn from
-# Words that announce or deny an entity.
-PHONE_CUE = re.compile(r"(?i)(?:\btel|\btél|phone|mobile|telefon|teléfono|telefone|\bcall|\bdial|\bcell is|\bmobil|unter|rejected|still has|joignable au|llamad al|電話|電話番号)[\w]*[ .:=]*(?:\xa0|\s)*$")
-PHONE_PLACE = re.compile(rf"(?:{AFTER})\.?(?:, | \| )$")
-CODE_DENIED = re.compile(r"(?i)(?:\bticket|\bissue|\btrace|\bsupersedes|\bseed|\brange|\bbuild|\brows|\bversion|\btimestamp|\bid|\bon|\bcommit|\bjob|\bseed|\bspan|\bisbn|\bhl-|\bv)[ -]*$")
+# Plain words of several languages that announce or deny an entity; what else tells one is for the field to learn.
+PHONE_CUE = re.compile(r"(?i)(?:\btel|\btél|phone|mobile|\bcell|\bfax|telefon|teléfono|telefone|\bmobil|\bcall|\bdial|電話|電話番号)\w*[ .:=]*\s*$")
+CODE_DENIED = re.compile(r"(?i)(?:\bticket|\bissue|\btrace|\bseed|\brange|\bbuild|\brows?|\bversion|\btimestamp|\bid|\bcommit|\bjob|\bspan|\bisbn|\b[a-z]{2,5}-|\bv)[ -]*$")
 ID_CUE = re.compile(
-    r"(?i)(?:ssn|social security (?:no\.?|number)|passport|driver licen[cs]e|national insurance number|steuer-id|sozialversicherungsnummer|\bdni|\bnif|\bnie|\bcpf|sécurité sociale|マイナンバー|aparece nie|reisepass|pasaporte|passeport(?: n°)?|personalausweis(?: nr\.)?|aparece documento)(?:\W{0,4}|, namely | is )$"
+    r"(?i)(?:ssn|social security(?: no\.?| number)?|passport|driver licen[cs]e|national insurance number|steuer-id|sozialversicherungsnummer|\bdni|\bnif|\bnie|\bcpf|sécurité sociale|マイナンバー|reisepass|pasaporte|passeport|personalausweis)(?: n[°ºr]\.?| no\.?)?\W{0,4}$"
 )
-ID_AFTER = re.compile(r"(?i) was printed as (?:ssn|social security|passport|driver licen|national insurance)")
+# Formats that are public: numbers with a country or trunk prefix; of Spain, Brazil and the United States; of hosts.
+PHONE_FORM = re.compile(r"\+\d[\d \xa0().-]{7,18}|0\d{1,4}[-./ ]\d[\d -]{5,9}")
+ID_FORM = re.compile(r"\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{3}-\d{2}-\d{4}")
+IPV4 = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
 NAME_CUE = re.compile(
-    r"(?i)(?:thanks to|reviewed-by:|signed-off-by:|talked to|according to|assigned to|owner:|@author|attendees:|contact:|cc|merci à|danke an|gracias a|obrigado a|signalé par|enviado por|reported by|was done by|maintainer since \d+:|can somebody reach|rücksprache mit|zuständig:|lo lleva|voir avec|co-worker on this:|from: \"|reporter\": \"|avisó|報告者)\s*$"
+    r"(?i)(?:thanks to|reviewed-by:|signed-off-by:|co-authored-by:|talked to|according to|assigned to|reported by|maintainer:|owner:|@author|attendees:|contact:|cc|merci à|danke an|gracias a|obrigado a|signalé par|enviado por|from: \"?|reporter\": \"|報告者)\s*$"
 )
+NO_ADDRESS = re.compile(r"(?i)\b(?:step|section|chapter|figure|table|version|ticket|issue|build|release|line|page)[ #]*$")
 
 
 def verdict(text: str, c: Candidate, lex: Lexicon) -> int:
@@ -372,20 +392,19 @@ def verdict(text: str, c: Candidate, lex: Lexicon) -> int:
         ok = len(re.findall(DOT, domain)) >= 1 and not domain[:1].isdigit() and local not in ("git", "user", "hg", "svn") and not (right[:1] == ":" and right[1:2].isalnum())
         return 1 if ok else -1
     if kind in ("phone", "id_number"):
-        inner_left = left[-1:] in (" ", "\xa0") and left[-2:-1].isdigit()
         inner_right = right[:1] in (" ", "\xa0") and (right[1:2].isdigit() or re.match(r"[ \xa0][A-Z]\b" if kind == "id_number" and text[a].isalpha() else r"[ \xa0][A-Z]\b(?! [a-zà-ÿ])", right) is not None)
-        if kind == "phone":
-            if (PHONE_CUE.search(left) or PHONE_PLACE.search(left)) and not inner_right:
-                return 1
-            if re.search(r"[町村区]\d+(?:-\d+)+ $", left) and not inner_right:
-                return 1
-        if kind == "id_number" and not inner_right and (ID_CUE.search(left) or ID_AFTER.match(right) and not inner_left):
+        phone, number = PHONE_CUE.search(left), ID_CUE.search(left)
+        if not inner_right and (phone if kind == "phone" else number):
             return 1
-        if CODE_DENIED.search(left) or ID_CUE.search(left) or PHONE_CUE.search(left) or PHONE_PLACE.search(left) or ID_AFTER.match(right):
+        if CODE_DENIED.search(left) or number or phone or IPV4.fullmatch(text, a, b):
             return -1
-        return 0
+        inner_left = left[-1:] in (" ", "\xa0") and left[-2:-1].isdigit()
+        return int(not inner_left and not inner_right and (PHONE_FORM if kind == "phone" else ID_FORM).fullmatch(text, a, b) is not None)
     if kind == "street_address":
-        return 1
+        if NO_ADDRESS.search(left):
+            return -1
+        named = [w.lower() for w in re.findall(PROPER, text[a:b])]
+        return 0 if named and all(w in lex.common for w in named) else 1
     if text[a:b].lower() in lex.fixed:
         return -1
     given, sur = name_parts(text, c)
@@ -411,7 +430,7 @@ def verdict(text: str, c: Candidate, lex: Lexicon) -> int:
 EXAMPLES = [
     "Mail it to ann.bell@host.example, please.", "Reach me at bob AT host DOT example if it breaks.", "write to cid [at] mail [dot] host [dot] example", "Clone git@host.example:team/repo.git first. Install tool@1.2.3 now.", "Use `user@host` style remotes.",
     "Call +44 20 7946 0123 for access.", "phone: (212) 555-0123", "Tel. 030/23125-777", "mobile=212.555.0199&lang=en", "Tél. : 01 99 00 12 34", "Teléfono: +34 600 000 123", "電話 03-0000-1234", "Range 1234-567 8901 maps to lines.", "Build 1234-567-8901 failed.", "version 1234.567.8901 of it",
-    "SSN: 912-34-5678", "passport: X12345678", "DNI 12345678Z", "CPF 123.456.789-00", "Rows 555-01-2345 of the sample were dropped.", "Timestamp 1700000000000000 is in microseconds", "Ticket HL-1234567 supersedes 1234567", "commit 1234567 is fine",
+    "SSN: 912-34-5678", "passport: X12345678", "DNI 12345678Z", "CPF 123.456.789-00", "Rows 555-01-2345 of the sample were dropped.", "Timestamp 1700000000000000 is in microseconds", "Ticket QX-1234567 supersedes 1234567", "commit 1234567 is fine",
     "Ship it to 12 Maple Street, second floor.", "Anschrift: Lindenweg 12", "Adresse : 12 rue des Lilas", "Calle Mayor 12", "Reviewed-by: Alice Bellweather", "Thanks to Peter Stonecroft for the review.", "cc J. Stonecroft", "Grace Period is a feature flag", "STONECROFT, Alice asked",
 ]
 
