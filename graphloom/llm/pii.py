@@ -34,15 +34,17 @@ EPOCHS = 4
 
 U, L = "A-ZÀ-ÖØ-ÞŁŚŠŽ", "a-zß-öø-ÿœłńśšžćčęą"
 NAME = rf"[{U}][{L}]+(?:[-'’][{U}][{L}]+)?"
-RUN = re.compile(rf"(?<![\w.@+/`-])(?:{NAME}|[{U}]\.)(?:[ \xa0](?:{NAME}|[{U}]\.))+(?![\w@`])")
+# Patterns begin with the character that they search, and look back over it: so the search skips all others at once.
+RUN = re.compile(rf"[{U}](?<![\w.@+/`-][{U}])(?:[{L}]+(?:[-'’][{U}][{L}]+)?|\.)(?:[ \xa0](?:{NAME}|[{U}]\.))+(?![\w@`])")
 PART = re.compile(rf"{NAME}|[{U}]\.")
-SURNAME_FIRST = re.compile(rf"(?<![\w.@+-])[{U}]{{3,}}(?:-[{U}]{{2,}})?,[ \xa0](?:{NAME}|[{U}]\.)(?:[ \xa0][{U}]\.)?(?![\w@])")
+SURNAME_FIRST = re.compile(rf"[{U}](?<![\w.@+-][{U}])[{U}]{{2,}}(?:-[{U}]{{2,}})?,[ \xa0](?:{NAME}|[{U}]\.)(?:[ \xa0][{U}]\.)?(?![\w@])")
 LOWER_TAIL = re.compile(rf"(?:-[{L}]+)?[ \xa0](?:[{L}]\.[ \xa0])?[{L}]{{4,}}(?![\w@-])")
-LOWER_INITIAL = re.compile(rf"(?<![\w.@+-])[{L}]\.[ \xa0][{L}]{{5,}}(?![\w@.-])")
+LOWER_INITIAL = re.compile(rf"\.(?<=[{L}]\.)(?<![\w.@+-][{L}]\.)[ \xa0][{L}]{{5,}}(?![\w@.-])")  # from its point on
+CODE_START = re.compile(r"[+(A-Z\d](?<![\w.@/#-][+(A-Z\d])(?:(?<=[+(\d])|(?=[A-Z]?[\d -]))")
 CODE = re.compile(
-    r"(?<![\w.@/#-])(?!\d{4}-\d\d-\d\d[T ]\d)[+(]{0,2}(?:[A-Z]{1,2}(?=[\d-]|[ ]\d\d[ ])[ -]?)?\d[\dA-Z]*(?:(?:[ \xa0]?\(|\)[ \xa0]?|[ \xa0.\-/])(?:\d[\dA-Z]*|[A-Z]\b(?!['’])))*(?![\w@])"
+    r"(?!\d{4}-\d\d-\d\d[T ]\d)[+(]{0,2}(?:[A-Z]{1,2}(?=[\d-]|[ ]\d\d[ ])[ -]?)?\d[\dA-Z]*(?:(?:[ \xa0]?\(|\)[ \xa0]?|[ \xa0.\-/])(?:\d[\dA-Z]*|[A-Z]\b(?!['’])))*(?![\w@])"
 )
-SERIAL = re.compile(r"(?<![\w.@/#-])[A-Z][A-Z0-9]{8}(?![\w@-])")
+SERIAL = re.compile(r"[A-Z](?<![\w.@/#-][A-Z])[A-Z0-9]{8}(?![\w@-])")
 GROUP = re.compile(r"[ \xa0]")
 AT = re.compile(r"@|[ \xa0]?[\[({]at[\])}][ \xa0]?|[ \xa0]AT[ \xa0]|[ \xa0]at[ \xa0](?=[\w-]+[ \xa0]dot[ \xa0])")
 DOT = r"(?:\.|[ \xa0]?[\[({]dot[\])}][ \xa0]?|[ \xa0]DOT[ \xa0]|[ \xa0]dot[ \xa0])"
@@ -74,6 +76,7 @@ NAME_BEFORE = re.compile(rf"({NAME})[ \xa0]$")
 WORD_LEFT = re.compile(r"(\w+)?(\W{0,3})$")
 WORD_RIGHT = re.compile(r"(\W{0,3})(\w+)?")
 TOKEN = re.compile(r"\w+")
+SPACES, CAPITAL, DIGITS, FIGURE, DOTS = (re.compile(x) for x in (r"\s+", r"[A-Z]", r"\d+", r"[9A]+", DOT))
 
 Candidate = tuple[int, int, str, str]  # start, end, kind, form
 
@@ -164,6 +167,15 @@ def local_part(text: str, end: int) -> int:
     return at
 
 
+def codes(text: str) -> Iterator[re.Match]:
+    """Numbers of several groups, from left to right."""
+    end = 0
+    for start in CODE_START.finditer(text):
+        if start.start() >= end and (m := CODE.match(text, start.start())):
+            end = m.end()
+            yield m
+
+
 def candidates(text: str, lex: Lexicon) -> list[Candidate]:
     """All spans that may be entities; spans of one text may overlap."""
     out: list[Candidate] = []
@@ -176,7 +188,7 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
             while text[end - 1] in "-_":
                 end -= 1
             out.append((left, end, "email", "@" if m.group() == "@" else m.group().strip().lower()))
-    for m in CODE.finditer(text):
+    for m in codes(text):
         s = m.group()
         if len(s) < 7 or sum(c.isdigit() for c in s) < 6:
             continue
@@ -210,7 +222,7 @@ def candidates(text: str, lex: Lexicon) -> list[Candidate]:
         out.append((m.start(), m.end(), "person_name", "surname_first"))
     out += lower_names(text, lex)
     for m in LOWER_INITIAL.finditer(text):
-        out.append((m.start(), m.end(), "person_name", "lower_initial"))
+        out.append((m.start() - 1, m.end(), "person_name", "lower_initial"))
     out.sort()
     return out
 
@@ -262,8 +274,8 @@ def features(text: str, c: Candidate, lex: Lexicon) -> tuple[str, ...]:
         lw = lw[-2:]
     if not rw.isascii() and any("぀" <= x <= "鿿" for x in rw):
         rw = rw[:2]
-    lp = re.sub(r"\s+", "~" if "\n" in lp else " ", lp)
-    rp = re.sub(r"\s+", "~" if "\n" in rp else " ", rp)
+    lp = SPACES.sub("~" if "\n" in lp else " ", lp)
+    rp = SPACES.sub("~" if "\n" in rp else " ", rp)
     f = ["bias", "form=" + form, "lw=" + lw, "lp=" + lp, "rp=" + rp, "rw=" + rw, "l=" + lw + lp, "r=" + rp + rw]
     if kind == "person_name":
         given, sur = name_parts(text, c)
@@ -280,15 +292,15 @@ def features(text: str, c: Candidate, lex: Lexicon) -> tuple[str, ...]:
         s = text[a:b]
         at = AT.search(s)
         local, domain = s[: at.start()], s[at.end() :]
-        f += [f"digit={domain[:1].isdigit()}", f"dots={min(2, len(re.findall(DOT, domain)))}", "local=" + (local if local in ("git", "user", "hg", "svn") else ""), f"path={text[b : b + 1] == ':' and text[b + 1 : b + 2].isalnum()}"]
+        f += [f"digit={domain[:1].isdigit()}", f"dots={min(2, len(DOTS.findall(domain)))}", "local=" + (local if local in ("git", "user", "hg", "svn") else ""), f"path={text[b : b + 1] == ':' and text[b + 1 : b + 2].isalnum()}"]
     elif kind in ("phone", "id_number"):
         s = text[a:b]
-        mask = re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s)).replace("\xa0", " ")
-        f += ["mask=" + mask, "groups=" + ",".join(str(len(x)) for x in re.findall(r"\d+", s)), "head=" + mask[:2], "seps=" + re.sub(r"[9A]+", "", mask)[:4], f"digits={sum(x.isdigit() for x in s)}"]
+        mask = CAPITAL.sub("A", DIGIT.sub("9", s)).replace("\xa0", " ")
+        f += ["mask=" + mask, "groups=" + ",".join(str(len(x)) for x in DIGITS.findall(s)), "head=" + mask[:2], "seps=" + FIGURE.sub("", mask)[:4], f"digits={sum(x.isdigit() for x in s)}"]
         before, after = text[max(0, a - 2) : a], text[b : b + 2]
         f += [f"cut_left={before[-1:] in (' ', chr(160)) and before[:1].isdigit()}", f"cut_right={after[:1] in (' ', chr(160)) and after[1:2].isdigit()}", f"touch={before[-1:]}"]
     else:
-        f += [f"n={len(re.search(r'[0-9]+', text[a:b]).group())}"]
+        f += [f"n={len(DIGITS.search(text, a, b).group())}"]
     return tuple(f"{kind}:{x}" for x in f)
 
 
