@@ -9,7 +9,7 @@ from graphloom.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.replay(table(spark, d, "node_snapshots"), table(spark, d, "snapshots"))
+    return snapshots.consecutive(table(spark, d, "node_snapshots"), table(spark, d, "snapshots"))
 
 
 def p1_changed_fields(spark: SparkSession, d: str) -> DataFrame:

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a private one only where the session names none."""
+    """The shared checkpoint folder of the session.
+
+    Where the session names none: a private folder in local mode, a folder of the user on the default file system of a
+    cluster; a cluster whose default file system is that of each machine has to name one.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return str(sc._jsc.sc().getCheckpointDir().get())
+    if named is None:
+        if re.match(r"local(\[|$)", sc.master):
+            named = tempfile.mkdtemp(prefix="spark-")
+        else:
+            fs = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration())
+            if fs.getUri().getScheme() == "file":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = f"{fs.getHomeDirectory()}/.checkpoints/{sc.applicationId}"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return named or str(sc._jsc.sc().getCheckpointDir().get())
+        sc.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -34,13 +34,17 @@ def numbers(spark, *nos, repo="r"):
     return spark.createDataFrame([(repo, n) for n in nos], "repo string, snapshot_no int")
 
 
-def test_snapshot_changes(spark):
+BOTH = pytest.mark.parametrize("way", [snapshots.replay, snapshots.consecutive])
+
+
+@BOTH
+def test_snapshot_changes(spark, way):
     rows = [
         snap(3, "a"), snap(3, "b"), snap(3, None), snap(3, "s\\x "),
         snap(7, "a", signature=" x   y ", tags=["b", "a", "a"], layer="", complexity=None), snap(7, "c"), snap(7, "s/x", file_path="a\\b.go"),
         snap(8, "a", name="m", t=T[1]), snap(8, "a", t=T[0]), snap(8, "c", line_range=None), snap(8, "c", line_range=None),
     ]
-    found = values(snapshots.replay(spark.createDataFrame(rows, SNAP), numbers(spark, 3, 7, 8)))
+    found = values(way(spark.createDataFrame(rows, SNAP), numbers(spark, 3, 7, 8)))
     assert found == [("r", 7, "b", "removed"), ("r", 7, "c", "added"), ("r", 8, "a", "changed"), ("r", 8, "c", "changed"), ("r", 8, "s/x", "removed")]
 
 
@@ -48,13 +52,27 @@ def test_repeated_rows_shrink_before_the_shuffle(spark):
     rows = spark.createDataFrame([snap(1, "a") for _ in range(8)], SNAP)
     plan = snapshots.replay(rows, numbers(spark, 1, 2))._jdf.queryExecution().sparkPlan().toString()
     assert "RepartitionByExpression" not in plan and "REPARTITION" not in plan and "partial_max" in plan
+    plan = snapshots.placed(rows, numbers(spark, 1, 2))._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION" not in plan and "partial_max" in plan
+
 
+def test_probes_do_not_shuffle(spark):
+    """Bucketed indexes meet bucket by bucket: the only exchange left is that of the list of snapshots."""
+    rows = spark.createDataFrame([snap(n, f"k{k}", name=f"{k % n}") for n in (1, 2, 3) for k in range(50)], SNAP)
+    df = snapshots.consecutive(rows, numbers(spark, 1, 2, 3), 4)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.find("Initial Plan")]
+    assert "SelectedBucketsCount: 4 out of 4" in plan or "Bucketed: true" in plan
+    assert "hashpartitioning(repo" not in plan or "id#" not in plan[plan.find("hashpartitioning(repo") : plan.find("hashpartitioning(repo") + 60]
 
-def test_snapshot_empty_and_extra(spark):
+
+@BOTH
+def test_snapshot_empty_and_extra(spark, way):
     none = spark.createDataFrame([], SNAP)
-    assert values(snapshots.replay(none, numbers(spark, 1, 2))) == []
+    assert values(way(none, numbers(spark, 1, 2))) == []
     rows = spark.createDataFrame([snap(1, "a"), snap(3, "a")], SNAP).withColumn("ord", F.lit("clash")).withColumn("h1", F.lit(1))
-    assert values(snapshots.replay(rows, numbers(spark, 1, 2, 3).withColumn("next_no", F.lit(9)))) == [("r", 2, "a", "removed"), ("r", 3, "a", "added")]
+    assert values(way(rows, numbers(spark, 1, 2, 3).withColumn("next_no", F.lit(9)))) == [("r", 2, "a", "removed"), ("r", 3, "a", "added")]
     changed = snapshots.changed_fields(spark.createDataFrame([snap(1, "a"), snap(2, "a", name=None, tags=["z"])], SNAP), numbers(spark, 1, 2))
     assert values(changed) == [("r", 2, "a", "name", "n", ""), ("r", 2, "a", "tags", "a,b", "z")]
 
@@ -64,10 +82,44 @@ def test_snapshot_index_equals_replay(spark, tmp_path):
     all_rows, index, found = spark.createDataFrame(rows, SNAP), snapshots.SnapshotIndex(spark, str(tmp_path / "i")), []
     for n in (1, 2, 3):
         changes = index.advance(all_rows.where(F.col("snapshot_no") == n))
-        found += [] if changes is None else [(r, n, i, k) for r, i, k in values(changes)]
+        found += [] if changes is None else [(r, n, i, k) for r, i, k in values(changes.select("repo", "id", "change_kind"))]
+        if n == 2:
+            assert [(r["id"], r["old_value"]["name"], r["new_value"]["name"]) for r in changes.where("old_value IS NOT NULL").collect()] == [("a", "n", "m")]
+            index = snapshots.SnapshotIndex(spark, str(tmp_path / "i"))  # as a new session opens it
     assert sorted(found) == values(snapshots.replay(all_rows, numbers(spark, 1, 2, 3)))
 
 
+def test_changed_fields_beyond_the_shared_keys(spark, monkeypatch):
+    rows, nos = spark.createDataFrame([snap(n, f"k{k}", name=f"{k % n}", t=T[n]) for n in (1, 2, 3) for k in range(40)], SNAP), numbers(spark, 1, 2, 3)
+    want = values(snapshots.changed_fields(rows, nos))
+    monkeypatch.setattr(snapshots, "MOST_KEYS", 3)
+    assert values(snapshots.changed_fields(rows, nos)) == want and want
+
+
+def test_generations(spark, tmp_path):
+    """A generation comes into force whole; one that was not published is not seen; buckets are rewritten one by one."""
+    from graphloom.sources.generations import Generations
+
+    g = Generations(spark, str(tmp_path))
+    assert g.read("t") is None and g.state() == {}
+    g.write(t=spark.range(3))
+    assert Generations(spark, str(tmp_path)).read("t") is None
+    g.publish()
+    g.write(t=spark.range(9))  # and now the writer dies
+    other = Generations(spark, str(tmp_path))
+    assert other.read("t").count() == 3
+    other.write_buckets("u", spark.range(10).withColumn("b", F.col("id") % 3), "b", [0, 1, 2])
+    other.publish()
+    before = other.state()["u"]
+    other.write_buckets("u", other.read("u", [1]).select(F.col("id") + 100).toDF("id").withColumn("b", F.lit(1)), "b", [1])
+    other.publish()
+    assert sorted(r[0] for r in other.read("u").select("id").collect()) == [0, 2, 3, 5, 6, 8, 9, 101, 104, 107]
+    assert {b for b, at in other.state()["u"].items() if before[b] == at} == {"0", "2"}
+    other.write_buckets("u", spark.range(0).withColumn("b", F.lit(0)), "b", [0])
+    other.publish()
+    assert set(other.state()["u"]) == {"1", "2"}
+
+
 NODE = "id string, created_at timestamp_ntz, deleted_at timestamp_ntz"
 EDGE = "id string, type string, from_id string, to_id string, unresolved boolean, created_at timestamp_ntz"
 
