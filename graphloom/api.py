@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import enrich, lifecycle, resolve, search, traversal
+from graphloom.operators import enrich, ingest, lifecycle, resolve, search, traversal
 from graphloom.operators import graph as G
-from graphloom.sources import extract, files
-from graphloom.sources.tables import table
+from graphloom.sources import files, sites
+from graphloom.session import cut
+from graphloom.sources.tables import clean_path, table
 
 
 class CodeGraph:
@@ -53,7 +54,8 @@ class CodeGraph:
             out["neighbors"] = [r.asDict() for r in found.orderBy("edge_type", "name", "neighbour").collect()]
         return out
 
-    def impact_analysis(self, id: str, max_depth: int = 3, include_tests: bool = True, include_docs: bool = True) -> dict | None:
+    def impact_analysis(self, id: str, max_depth: int = 3, include_tests: bool = True, include_docs: bool = True, most: int = 100) -> dict | None:
+        """Callers and called within the depth, tests and documents: the first ``most`` of each, as the answer is one object."""
         if self.nodes.where(F.col("id") == id).isEmpty():
             return None
         start = self._ids(id)
@@ -64,9 +66,9 @@ class CodeGraph:
             if r["layer"]:
                 out["layer_breakdown"][r["layer"]] = out["layer_breakdown"].get(r["layer"], 0) + 1
         if include_tests:
-            out["tests"] = [r.asDict() for r in self.find_tests_for(id, 0.0).collect()]
+            out["tests"] = [r.asDict() for r in self.find_tests_for(id, 0.0).limit(most).collect()]
         if include_docs:
-            out["docs"] = [r.asDict() for r in self.find_docs_for(id).collect()]
+            out["docs"] = [r.asDict() for r in self.find_docs_for(id).limit(most).collect()]
         return out
 
     def trace_call_chain(self, from_id: str, to_id: str, max_depth: int = 6, edge_types=("CALLS", "INSTANTIATES")) -> dict | None:
@@ -125,33 +127,54 @@ class CodeGraph:
 
     # -- writes: each returns the new tables, to be stored as a generation
     def ingest_repo(self, root: str, repo: str, commit: str, patterns=files.PATTERNS, changed: DataFrame | None = None, now=None) -> CodeGraph:
-        """Read a checkout, extract, resolve and merge; with ``changed`` (status, path, old_path) only those files, and
-        deleted or renamed ones are soft-deleted.  A full run soft-deletes what the checkout no longer has."""
+        """Read a checkout, extract, resolve and merge files, members, documents, sections and their edges.
+
+        With ``changed`` (status, path, old_path) only those files are read: deleted and renamed ones are soft-deleted with
+        their members, members that a changed file no longer has too, renames get an edge; changes that concern no file of
+        the patterns leave the graph as it is.  A full run soft-deletes what the checkout no longer has.
+        """
         now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
+        if changed is not None:
+            ends = F.lower(F.regexp_extract(F.coalesce("path", "old_path"), r"\.(\w+)$", 1)).isin(*files.extensions(patterns))
+            changed = changed.select("status", clean_path("path").alias("path"), clean_path("old_path").alias("old_path")).where(ends).distinct()
+            if changed.isEmpty():
+                return self
         found = files.listed(self.spark, root, patterns)
         if changed is not None:
             found = found.join(changed.where("status <> 'D'").select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi")
-        raw = files.raw_files(found, repo, commit)
-        facts = extract.facts(raw)
-        members = facts.where("kind <> 'import'").select(
-            "run_id", F.col("kind").alias("type"), "name", "language", "file_path", "repo", F.struct(F.col("line").alias("start"), F.col("line").alias("end")).alias("line_range"),
-            F.lit(None).cast("string").alias("signature"), F.lit(None).cast("string").alias("code_snippet"), F.create_map().cast("map<string,string>").alias("extra"), F.lit(None).cast("timestamp_ntz").alias("extracted_at"),
-        )
-        new = lifecycle.normalised(raw.unionByName(members))
+        return self._merged(found, repo, commit, now, changed)
+
+    def _merged(self, found: DataFrame, repo: str, commit: str, now, changed: DataFrame | None) -> CodeGraph:
+        raw = cut(files.raw_files(found, repo, commit))
+        scanned = cut(sites.scanned(raw))
+        new = cut(ingest.nodes_of(raw, scanned))
         nodes = lifecycle.upsert_nodes(self.nodes, new, F.lit(commit), now).drop("action")
+        edges = self.edges
         if changed is not None:
             gone = changed.select(F.lit(repo).alias("repo"), F.when(F.col("status") == "D", F.col("path")).otherwise(F.col("old_path")).alias("file_path")).where("file_path IS NOT NULL")
-            nodes = lifecycle.soft_delete_files(nodes, gone, now)
+            nodes = ingest.dropped_members(lifecycle.soft_delete_files(nodes, gone, now), new, now)
+            edges = lifecycle.upsert_edges(edges, ingest.rename_edges(nodes, changed.withColumn("repo", F.lit(repo))), now)
         else:
             nodes = lifecycle.soft_delete_unseen(nodes, self.spark.createDataFrame([(repo, commit)], "repo string, head string"), now)
-        imports = facts.where("kind = 'import'").select("repo", F.col("file_path").alias("path"), F.col("name").alias("import_path"))
-        known = nodes.where((F.col("type") == "file") & (F.col("repo") == repo)).select("repo", F.col("file_path").alias("path"), "id")
-        edges = lifecycle.upsert_edges(self.edges, resolve.resolve_imports(imports, known).withColumn("type", F.lit("IMPORTS")), now)
+        edges = lifecycle.upsert_edges(edges, ingest.edges_of(raw, scanned, nodes), now)
         return CodeGraph(nodes, edges, self.repos, self.vectors, self.provider)
 
-    def reindex_file(self, root: str, repo: str, path: str, commit: str) -> CodeGraph:
+    def reindex_file(self, root: str, repo: str, path: str, commit: str, now=None) -> CodeGraph:
+        """Read one file again; nothing else of the checkout is listed or opened."""
+        now = F.current_timestamp().cast("timestamp_ntz") if now is None else now
         one = self.spark.createDataFrame([("M", path, None)], "status string, path string, old_path string")
-        return self.ingest_repo(root, repo, commit, (f"**/*.{path.rpartition('.')[2]}",), one)
+        return self._merged(files.one(self.spark, root, path), repo, commit, now, one)
+
+    def feature_template(self, description: str, repo: str, top_k: int = 8) -> dict[str, DataFrame]:
+        """For a new feature: the layers of the repo, the code nearest to its description, what that touches, and the contracts (interfaces) it rests on."""
+        n = self.nodes.where(F.col("repo") == repo)
+        here = CodeGraph(n, self.edges, self.repos, self.vectors, self.provider)
+        near = here.semantic_search(description, "code", top_k) if self.vectors is not None else here.find_nodes(description, limit=top_k, use_semantic=False)
+        near = cut(near)
+        around = G.neighbours(self.edges, n, near.select("id"), most=20)
+        kind = n.select(F.col("id").alias("neighbour"), F.col("type").alias("kind"))
+        contracts = around.join(kind.where("kind = 'interface'"), "neighbour", "left_semi").unionByName(around.where("edge_type IN ('IMPLEMENTS', 'INHERITS')")).distinct()
+        return {"layers": G.layers(n), "nearest": near, "around": around, "contracts": contracts}
 
     def refresh_summaries(self, repo: str | None = None, node_ids: list[str] | None = None, only_if_missing: bool = True, limit: int = 500, provider=enrich.RuleSummaries) -> DataFrame:
         n = self.nodes if repo is None else self.nodes.where(F.col("repo") == repo)
@@ -166,7 +189,8 @@ class CodeGraph:
         n = self.nodes.where(F.col("repo") == repo)
         return resolve.test_links(self.edges.where("type = 'CALLS'"), n, min_weight)
 
-    def refresh_doc_links(self, repo: str, min_confidence: float = 0.3) -> DataFrame:
+    def refresh_doc_links(self, repo: str, min_confidence: float = 0.3, judge=None) -> DataFrame:
+        """Links of sections to code: by name and, where there are vectors, by likeness; ``judge`` makes the confidence."""
         n = self.nodes.where(F.col("repo") == repo)
         sections = n.where("type = 'section' AND code_snippet IS NOT NULL").select(F.col("id").alias("section"), "repo", F.col("code_snippet").alias("text"))
-        return resolve.document_links(sections, n, min_confidence)
+        return resolve.document_links(sections, n, min_confidence, self.vectors, judge)

@@ -61,6 +61,11 @@ def test_path(path: Column) -> Column:
     return low.contains("test") | low.contains("spec") | low.contains("__tests__")
 
 
+def test_path_words(path: Column) -> Column:
+    """The same question as a pattern, without regard to case."""
+    return F.coalesce(path, F.lit("")).rlike("(?i)test|spec|__tests__")
+
+
 # ---- one hop
 def neighbours(edges: DataFrame, nodes: DataFrame, of: DataFrame, edge_types=None, min_weight: float | None = None, most: int | None = None) -> DataFrame:
     """(id, neighbour, edge_type, weight, type, name) in both directions of the ids in ``of``; a self-loop comes once.
@@ -192,7 +197,7 @@ def shaped(nodes: DataFrame, cap: int = 280) -> DataFrame:
     """List shape: long summaries are cut and get an ellipsis; missing tags are an empty list."""
     s = F.coalesce("summary", F.lit(""))
     return nodes.select(
-        "id", "type", "name", "file_path", F.when(F.length(s) > cap, F.concat(F.substring(s, 1, cap), F.lit("…"))).otherwise(s).alias("summary"),
+        "id", F.coalesce("type", F.lit("Unknown")).alias("type"), "name", "file_path", F.when(F.length(s) > cap, F.concat(F.substring(s, 1, cap), F.lit("…"))).otherwise(s).alias("summary"),
         F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "layer",
     )
 

@@ -16,12 +16,12 @@ from graphloom.sources.tables import clean_path
 NODE_KINDS = ("file", "class", "interface", "enum", "function", "document", "section")
 
 
-def normalised(raw: DataFrame) -> DataFrame:
-    """RawNode rows as nodes: stable id, layer, hashes; the row extracted last wins; kinds without ids are dropped."""
+def normalised(raw: DataFrame, with_text: bool = False) -> DataFrame:
+    """RawNode rows as nodes: stable id, layer, hashes of contents; the row extracted last wins; kinds without ids are dropped."""
     rows = raw.where(F.col("type").isin(*NODE_KINDS) & F.col("repo").isNotNull() & F.col("file_path").isNotNull()).select(
         node_id("type", "repo", "file_path", "name", "signature").alias("id"), "type", "name", "repo", "language", clean_path("file_path").alias("file_path"), "line_range",
-        "signature", signature_hash("signature").alias("signature_hash"), F.when(F.col("type") == "file", F.md5("code_snippet")).alias("file_hash"),
-        assign_layer("type", "name", "file_path").alias("layer"), name_tokens("name").alias("name_tokens"), "run_id", "extracted_at",
+        "signature", signature_hash("signature").alias("signature_hash"), F.when(F.col("type").isin("file", "document", "section"), F.md5("code_snippet")).alias("file_hash"),
+        assign_layer("type", "name", "file_path").alias("layer"), name_tokens("name").alias("name_tokens"), "run_id", "extracted_at", *["code_snippet"] * with_text,
     )
     cells = [c for c in rows.columns if c != "id"]
     return rows.where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct(*cells), F.struct("extracted_at", "run_id", F.xxhash64(*[F.col(c) for c in cells]))).alias("v")).select("id", "v.*")
@@ -34,7 +34,9 @@ def upsert_nodes(old: DataFrame, new: DataFrame, commit: Column, now: Column) ->
     and live again; last_seen_commit moves for all that the batch holds.
     """
     cells = ("type", "name", "repo", "language", "file_path", "line_range", "signature", "signature_hash", "file_hash", "layer")
-    n = new.select("id", F.struct(*cells, commit.alias("commit"), now.alias("now")).alias("n"))
+    text = [c for c in ("code_snippet",) if c in old.columns and c in new.columns]
+    others = [c for c in old.columns if c not in (*cells, *text, "id", "first_seen_commit", "last_seen_commit", "created_at", "updated_at", "deleted_at", "action")]  # summaries and the like stay
+    n = new.select("id", F.struct(*cells, *text, commit.alias("commit"), now.alias("now")).alias("n"))
     o = old.select("id", F.struct(*[c for c in old.columns if c != "id"]).alias("o"))
     both = o.join(n, "id", "full")
     is_new, hit = F.col("o").isNull(), F.col("n").isNotNull()
@@ -46,10 +48,10 @@ def upsert_nodes(old: DataFrame, new: DataFrame, commit: Column, now: Column) ->
         return F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
 
     return both.select(
-        "id", *[keep(c) for c in ("type", "name", "repo", "language", "file_path", "signature", "signature_hash")], *[change(c) for c in ("file_hash", "line_range", "layer")],
+        "id", *[keep(c) for c in ("type", "name", "repo", "language", "file_path", "signature", "signature_hash")], *[change(c) for c in ("file_hash", "line_range", "layer", *text)],
         F.coalesce("o.first_seen_commit", F.when(is_new, F.col("n.commit"))).alias("first_seen_commit"), F.when(hit, F.col("n.commit")).otherwise(F.col("o.last_seen_commit")).alias("last_seen_commit"),
         F.coalesce("o.created_at", "n.now").alias("created_at"), F.when(hit, F.col("n.now")).otherwise(F.col("o.updated_at")).alias("updated_at"),
-        F.when(~hit, F.col("o.deleted_at")).alias("deleted_at"), F.when(is_new, "created").when(hit, "matched").otherwise("kept").alias("action"),
+        F.when(~hit, F.col("o.deleted_at")).alias("deleted_at"), F.when(is_new, "created").when(hit, "matched").otherwise("kept").alias("action"), *[F.col(f"o.{c}").alias(c) for c in others],
     )
 
 
@@ -65,6 +67,21 @@ def upsert_edges(old: DataFrame, new: DataFrame, now: Column, overwrite_weight:
     )
 
 
+def written(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """(action, rows): how many rows of an upsert are new, how many were there before."""
+    old = before.select(*key).distinct().withColumn("old", F.lit(True))
+    return after.select(*key).join(old, key, "left").groupBy(F.when(F.col("old"), "kept").otherwise("created").alias("action")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def repaired(nodes: DataFrame) -> DataFrame:
+    """Stored nodes as the schema wants them: '' is no layer, name_tokens are filled in; a column that is missing is an error."""
+    missing = {"id", "name", "layer"} - set(nodes.columns)
+    if missing:
+        raise ValueError(f"nodes lack {sorted(missing)}")
+    tokens = name_tokens("name")
+    return nodes.withColumns({"layer": F.nullif(F.trim("layer"), F.lit("")), "name_tokens": F.coalesce("name_tokens", tokens) if "name_tokens" in nodes.columns else tokens})
+
+
 def with_both_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends both exist."""
     ids = nodes.select("id")

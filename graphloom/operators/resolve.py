@@ -99,16 +99,45 @@ def test_links(calls: DataFrame, nodes: DataFrame, least: float = 0.5) -> DataFr
 UNJUDGED = 0.5
 
 
-def document_links(sections: DataFrame, nodes: DataFrame, least: float = 0.3) -> DataFrame:
-    """(src, dst, confidence): sections that name a class or function of their repo.
+# What a judge sees of a section, and how many of the nearest members are candidates.
+JUDGED, NEAREST = 1500, 10
 
-    Every pair has UNJUDGED as its confidence, whatever else its section names, as long as no classifier judges it.
+
+def document_links(sections: DataFrame, nodes: DataFrame, least: float = 0.3, vectors: DataFrame | None = None, judge=None) -> DataFrame:
+    """(src, dst, confidence): sections (section, repo, text) and the classes or functions of their repo that they describe.
+
+    Candidates are the members that a section names, and with ``vectors`` (id, embedding, of sections and members) the
+    NEAREST members of its repo.  ``judge``, made once per worker, has ``confidence(list of dicts) -> list of float``; where
+    there is none or it fails, every candidate has UNJUDGED.
     """
-    from graphloom.operators.search import name_matches
+    from graphloom.operators.search import knn, name_matches
 
     names = nodes.where("deleted_at IS NULL AND type IN ('class', 'function')").select("id", "name", "repo")
-    found = name_matches(sections, "section", F.col("text"), names, "repo")
-    return found.select(F.col("section").alias("src"), F.col("id").alias("dst"), F.lit(UNJUDGED).alias("confidence")).distinct().where(F.col("confidence") >= least)
+    found = name_matches(sections, "section", F.col("text"), names, "repo").select("section", "id")
+    if vectors is not None:
+        asked = vectors.join(sections.select(F.col("section").alias("id"), "repo").distinct(), "id").select(F.col("id").alias("query"), F.col("embedding").alias("vector"))
+        near = knn(vectors.join(names.select("id"), "id", "left_semi"), "id", "embedding", asked, NEAREST).select(F.col("query").alias("section"), "id")
+        same = near.join(sections.select("section", "repo").distinct(), "section").join(names.select("id", "repo"), ["id", "repo"], "left_semi").select("section", "id")
+        found = found.unionByName(same)
+    pairs = found.distinct()
+    if judge is None:
+        return pairs.select(F.col("section").alias("src"), F.col("id").alias("dst"), F.lit(UNJUDGED).alias("confidence")).where(F.col("confidence") >= least)
+
+    def run(batches):
+        import pandas as pd
+
+        made = judge()
+        for frame in batches:
+            try:
+                sure = [float(x) for x in made.confidence(frame.to_dict("records"))]
+                if len(sure) != len(frame):
+                    raise ValueError("one confidence for each pair")
+            except Exception:  # a judge may be any service
+                sure = [UNJUDGED] * len(frame)
+            yield pd.DataFrame({"src": frame["src"], "dst": frame["dst"], "confidence": sure})
+
+    rows = pairs.join(sections.select("section", F.substring("text", 1, JUDGED).alias("text")), "section").join(names.select("id", "name"), "id").select(F.col("section").alias("src"), F.col("id").alias("dst"), "text", "name")
+    return rows.mapInPandas(run, "src string, dst string, confidence double").where(F.col("confidence") >= least)
 
 
 def call_sites(edges: DataFrame, edge_types=("CALLS",)) -> DataFrame:

@@ -177,7 +177,8 @@ def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, most: int
         part = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v IS NOT NULL").mapInPandas(best, f"query {kind}, k {kinds[key]}, score double")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        raise ValueError("no query vectors")
+        kind = dict(queries.dtypes)["query"]
+        return vectors.select(F.lit(None).cast(kind).alias("query"), key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "k")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).withColumnRenamed("k", key)
 

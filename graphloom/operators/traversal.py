@@ -7,35 +7,55 @@ lineage in the shared checkpoint folder each round.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.session import cut
 
 
+FRONTS = 24  # parts of a growing set before they are put together
+
+
 def hops(edges: DataFrame, up: bool, edge_types=("CALLS",)) -> DataFrame:
     e = edges.where(F.col("type").isin(*edge_types) & (F.col("src") != F.col("dst")))
     return e.select(F.col("dst" if up else "src").alias("at"), F.col("src" if up else "dst").alias("next"))
 
 
-def trails(edges: DataFrame, starts: DataFrame, depth: int, up: bool) -> DataFrame:
-    """(start, id, depth, path_ids): all trails of 1..depth CALLS edges that end (up) or begin (down) at the starts."""
+def trails(edges: DataFrame, starts: DataFrame, depth: int, up: bool, enough=None) -> DataFrame:
+    """(start, id, depth, path_ids): all trails of 1..depth CALLS edges that end (up) or begin (down) at the starts.
+
+    ``enough`` (depth, trails so far, rows of this depth) gives the starts that need no longer trails.
+    """
     step = hops(edges, up)
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array("id").alias("path"))
     out: DataFrame | None = None
+    parts: list[DataFrame] = []
     for d in range(1, depth + 1):
         pair = F.array(F.col("at"), F.col("next"))
         used = F.exists(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.slice("path", i + 1, 2) == pair) if d > 1 else F.lit(False)
         front = front.join(step, "at").where(~used).select("start", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
         now = front.select("start", F.col("at").alias("id"), F.lit(d).alias("depth"), (F.reverse("path") if up else F.col("path")).alias("path_ids"))
         out = now if out is None else out.unionByName(now)
+        if enough is not None and d < depth:
+            front = cut(front)
+            now = front.select("start", F.col("at").alias("id"), F.lit(d).alias("depth"), (F.reverse("path") if up else F.col("path")).alias("path_ids"))
+            parts.append(now)
+            out = reduce(DataFrame.unionByName, parts)
+            front = front.join(enough(out), "start", "left_anti")
     return out
 
 
 def impact(edges: DataFrame, nodes: DataFrame, starts: DataFrame, depth: int = 3, up: bool = True, most: int | None = 100) -> DataFrame:
     """Trails whose far end lives, the nearest first by name; at most ``most`` for each start."""
     far = nodes.where("deleted_at IS NULL").select("id", "name", "layer")
-    rows = trails(edges, starts, depth, up).join(far, "id")
+
+    def enough(rows: DataFrame) -> DataFrame:
+        """Starts whose nearer trails already fill the answer."""
+        return rows.join(far.select("id"), "id", "left_semi").groupBy("start").count().where(F.col("count") >= most).select("start")
+
+    rows = trails(edges, starts, depth, up, None if most is None else enough).join(far, "id")
     if most is not None:
         w = Window.partitionBy("start").orderBy("depth", "name", "id", F.array_join("path_ids", ">"))
         rows = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
@@ -74,14 +94,15 @@ def call_chains(edges: DataFrame, starts: DataFrame, depth: int = 6, edge_types=
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id): the roots and all that can be reached from them over (src, dst), however many rounds it takes."""
-    step = cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("next")))
+    step = cut(edges.select(F.col("src").alias("id"), F.col("dst").alias("next")).where("id <> next"))
     front = cut(roots.select("id").distinct())
-    seen = front
+    parts = [front]  # each front is written once; many small ones are put together
     while True:
+        seen = reduce(DataFrame.unionByName, parts)
         front = cut(front.join(step, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti"))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionByName(front))
+        parts = [*parts, front] if len(parts) < FRONTS else [cut(seen), front]
 
 
 def dead_code(calls: DataFrame, nodes: DataFrame, entry_layer: str = "controller") -> tuple[DataFrame, DataFrame]:

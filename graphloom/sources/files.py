@@ -36,6 +36,12 @@ def listed(spark: SparkSession, root: str, patterns: tuple[str, ...] = PATTERNS,
     return rows.select("file_path", language("file_path").alias("language"), F.decode("content", "UTF-8").alias("content"))
 
 
+def one(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """(file_path, language, content) of one file below root."""
+    found = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/{path}")
+    return found.select(F.lit(path).alias("file_path"), language(F.lit(path)).alias("language"), F.decode("content", "UTF-8").alias("content"))
+
+
 def raw_files(files: DataFrame, repo: str, run_id: str) -> DataFrame:
     """Files as RawNode rows of one run."""
     return files.select(

@@ -419,7 +419,7 @@ def test_files_and_changes(spark, tmp_path):
     empty = spark.createDataFrame([], "id string, type string, name string, repo string, language string, file_path string, signature string, signature_hash string, file_hash string, line_range struct<start:int,end:int>, layer string, first_seen_commit string, last_seen_commit string, created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz")
     g = CodeGraph(empty, edges).ingest_repo(str(tmp_path), "r", "c1")
     ids = {r["id"] for r in g.nodes.collect()}
-    assert {"file:r:readme.md", "file:r:src/a.ts"} <= ids and len(ids) == 3
+    assert ids == {"file:r:readme.md", "file:r:src/a.ts", "doc:r:readme.md"} | {i for i in ids if i.startswith("function:r:src/a.ts:hello:")} and len(ids) == 4
     assert g.edges.count() == edges.count()
 
 
@@ -448,3 +448,224 @@ def test_stream_is_idempotent(spark, tmp_path):
     before = g.applied()
     g.merge(spark.createDataFrame(rows[:1], schema), before)  # a batch delivered again
     assert g.applied() == before and g.nodes().count() == 2
+
+
+# ---- members and what they name
+CODE = {
+    "typescript": """import { a } from './a';
+interface Shape extends Base { area(): number; }
+export class Relay extends Tram<Map<string, X>> implements Shape, Other {
+  constructor(private x: Map<string, number>) { super(); this.start(); }
+  async load(id: string): Promise<string[]> {
+    const pick = (n: number) => rank(n);
+    // not(called) and "neither(this)" nor /{}(x)/
+    return this.fetch(id).map(parse).trim();
+  }
+}
+const held = async (x) => { helper(x); new Relay(); };
+function outer() { function inner() { deep(); } inner(); }
+""",
+    "python": """import os
+class A(B, metaclass=M):
+    def f(self, x):
+        # hidden(1)
+        s = "also(2)"
+        return g(
+            h(x),
+        )
+
+    async def k(self):
+        self.m.n(); print(len(x))
+
+def top():
+    def nested():
+        low()
+    nested()
+call_outside()
+""",
+    "csharp": """namespace X {
+ public sealed class Svc<T> : BaseSvc<T>, ISvc, IOther where T : class {
+  public async Task<int> Load(int id) { var x = Helper.Find(id); list.Add(x); return await Next(x); }
+  public int Size() => Count2(3);
+ }
+ public interface ISvc { void Run(); }
+}
+""",
+    "java": """package a;
+public final class Svc<T extends X> extends BaseSvc<T> implements ISvc, Other {
+  @Override
+  public <R> List<R> load(int id) throws IOException {
+    return find(id);
+  }
+  void local() { }
+}
+interface ISvc extends Closeable { void run(); }
+""",
+    "go": """package a
+type Store struct { n int }
+type Reader interface { Read() int }
+func (s *Store) Load(id int) (string, error) {
+	x := s.find(id)
+	go run(func() { inner(x) })
+	return fmt.Sprintf("a(b)", x), nil
+}
+func helper() int { return len(x) }
+""",
+}
+
+
+def test_members_and_sites(spark):
+    from graphloom.sources import sites
+
+    def seen(lang):
+        rows = sites.scan(CODE[lang], lang)
+        return {(k, n, a, b) for k, n, t, a, b, _ in rows if t is None}, {(n, t) for k, n, t, *_ in rows if k == "CALLS"}, {(k, n, t) for k, n, t, *_ in rows if t and k != "CALLS"}
+
+    members, calls, bases = seen("typescript")
+    assert {("interface", "Shape", 2, 2), ("class", "Relay", 3, 10), ("function", "load", 5, 9), ("function", "held", 11, 11), ("function", "outer", 12, 12), ("function", "inner", 12, 12)} <= members
+    assert {("load", "fetch"), ("held", "helper"), ("inner", "deep"), ("outer", "inner")} <= calls and not {"not", "neither", "map", "trim", "Relay", "called"} & {t for _, t in calls}
+    assert bases == {("INHERITS", "Shape", "Base"), ("INHERITS", "Relay", "Tram"), ("IMPLEMENTS", "Relay", "Shape"), ("IMPLEMENTS", "Relay", "Other")}
+    members, calls, bases = seen("python")
+    assert members == {("class", "A", 2, 11), ("function", "f", 3, 8), ("function", "k", 10, 11), ("function", "top", 13, 16), ("function", "nested", 14, 15)}
+    assert calls == {("f", "g"), ("f", "h"), ("k", "n"), ("nested", "low"), ("top", "nested")} and not bases
+    members, calls, bases = seen("csharp")
+    assert members == {("class", "Svc", 2, 5), ("function", "Load", 3, 3), ("function", "Size", 4, 4), ("interface", "ISvc", 6, 6)} | {m for m in members if m[1] == "Run"}
+    assert calls == {("Load", "Find"), ("Load", "Next"), ("Size", "Count2")} and bases == {("INHERITS", "Svc", "BaseSvc"), ("IMPLEMENTS", "Svc", "ISvc"), ("IMPLEMENTS", "Svc", "IOther")}
+    members, calls, bases = seen("java")
+    assert {("class", "Svc", 2, 8), ("function", "load", 4, 6), ("function", "local", 7, 7), ("interface", "ISvc", 9, 9)} <= members
+    assert not calls and bases == {("INHERITS", "Svc", "BaseSvc"), ("IMPLEMENTS", "Svc", "ISvc"), ("IMPLEMENTS", "Svc", "Other"), ("INHERITS", "ISvc", "Closeable")}
+    members, calls, bases = seen("go")
+    assert members == {("class", "Store", 2, 2), ("interface", "Reader", 3, 3), ("function", "Load", 4, 8), ("function", "helper", 9, 9)}
+    assert {("Load", "find"), ("Load", "run"), ("Load", "inner")} <= calls and "Sprintf" not in {t for _, t in calls}
+
+
+def test_scanned_files(spark):
+    from graphloom.sources import sites
+
+    raw = spark.createDataFrame([("r", "file", "a.py", "x", CODE["python"])] * 2 + [("r", "file", "b.py", "x", None), ("r", "file", "c.txt", "x", "def f(): g()"), ("r", "class", "d.py", "x", "def f(): g()"), ("r", "file", "e.go", None, "")], "run_id string, type string, file_path string, repo string, code_snippet string").withColumn("kind", F.lit("clash"))
+    rows = sites.scanned(raw)
+    assert sites.sites(rows, "CALLS").count() == 5 and sites.members(rows).count() == 5
+    assert {r["signature"] for r in sites.members(rows).where("name = 'f'").collect()} == {"def f(self, x):"}
+    assert sites.scanned(raw.limit(0)).count() == 0
+
+
+EMPTY_NODES = "id string, type string, name string, repo string, language string, file_path string, signature string, signature_hash string, file_hash string, line_range struct<start:int,end:int>, code_snippet string, summary string, tags array<string>, layer string, first_seen_commit string, last_seen_commit string, created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz"
+EMPTY_EDGES = "src string, dst string, type string, weight double, unresolved boolean, created_at timestamp_ntz, updated_at timestamp_ntz"
+
+
+def test_ingestion_of_a_checkout(spark, tmp_path):
+    """A full run, then one over what changed: edges of all kinds, dropped members, deleted and renamed files."""
+    from graphloom.session import cut
+
+    def write(p, text):
+        os.makedirs((tmp_path / p).parent, exist_ok=True)
+        (tmp_path / p).write_text(text)
+
+    write("src/a.ts", "import { b } from './b';\nexport class A extends Root {\n  run(x: number): void {\n    helper(x);\n  }\n  old(): void {\n    this.run(1);\n  }\n}\n")
+    write("src/b.ts", "export class Root {\n}\nexport function helper(x) {\n  return x;\n}\n")
+    write("docs/guide.md", "# Guide\nSee [api](../docs/api.md).\n## Relay helper\nCall `helper` first.\n")
+    write("docs/api.md", "# Api\n")
+    g = CodeGraph(spark.createDataFrame([], EMPTY_NODES), spark.createDataFrame([], EMPTY_EDGES)).ingest_repo(str(tmp_path), "r", "c1")
+    g = CodeGraph(cut(g.nodes), cut(g.edges))
+    ids = {r["id"] for r in g.nodes.collect()}
+    assert {"class:r:src/a.ts:A", "class:r:src/b.ts:Root", "doc:r:docs/guide.md", "doc:r:docs/guide.md#relay-helper", "file:r:docs/api.md"} <= ids
+    named = {(r["type"], r["src"].split(":")[-1] if r["type"] == "LINKS_TO" else r["src"].split(":")[3] if r["type"] in ("CALLS", "INHERITS") else r["src"].split(":")[2], r["dst"].split(":")[3] if r["type"] in ("CALLS", "INHERITS", "MENTIONS") else r["dst"].split(":")[2], r["unresolved"]) for r in g.edges.collect()}
+    assert {("CALLS", "run", "helper", True), ("CALLS", "old", "run", False), ("INHERITS", "A", "Root", True), ("IMPORTS", "src/a.ts", "src/b.ts", False), ("HAS_SECTION", "docs/guide.md", "docs/guide.md#guide", False), ("LINKS_TO", "docs/guide.md", "docs/api.md", False), ("MENTIONS", "docs/guide.md#relay-helper", "helper", False)} <= named
+    member = g.nodes.where("name = 'run'").first()
+    assert member["signature"] == "run(x: number): void {" and member["code_snippet"].startswith("  run(x") and member["line_range"]["end"] == 5
+
+    write("src/a.ts", "export class A {\n  run(x: number): void {\n  }\n}\n")
+    os.rename(tmp_path / "src/b.ts", tmp_path / "src/c.ts")
+    os.remove(tmp_path / "docs/api.md")
+    changed = spark.createDataFrame([("M", "src/a.ts", None), ("R", "src/c.ts", "src/b.ts"), ("D", "docs/api.md", None), ("M", "x.bin", None)], "status string, path string, old_path string")
+    h = g.ingest_repo(str(tmp_path), "r", "c2", changed=changed)
+    h = CodeGraph(cut(h.nodes), cut(h.edges))
+    dead = {r["id"] for r in h.nodes.where("deleted_at IS NOT NULL").collect()}
+    assert {i for i in ids if ":old:" in i or "src/b.ts" in i or "docs/api.md" in i} == dead
+    assert h.edges.where("type = 'RENAMED_FROM'").select("src", "dst").collect() == [("file:r:src/b.ts", "file:r:src/c.ts")]
+    none = spark.createDataFrame([("M", "x.bin", None)], changed.schema)
+    assert h.ingest_repo(str(tmp_path), "r", "c3", changed=none) is h
+    write("src/a.ts", "export class Again {\n}\n")
+    k = h.reindex_file(str(tmp_path), "r", "src/a.ts", "c3")
+    assert {r["id"] for r in k.nodes.where("file_path = 'src/a.ts' AND deleted_at IS NULL").collect()} == {"file:r:src/a.ts", "class:r:src/a.ts:Again"}
+    counts = {r["action"]: r["rows"] for r in lifecycle.written(h.edges, k.edges, ["src", "dst", "type"]).collect()}
+    assert counts == {"kept": h.edges.count()}
+    t = k.feature_template("guide for the relay", "r")
+    assert t["layers"].count() == 0 and "contracts" in t and t["around"].count() >= 0
+
+
+def test_renames_by_content(spark):
+    from graphloom.operators import ingest
+
+    n = spark.createDataFrame([("file:r:a", "file", "r", "a", "h", T[1]), ("file:r:b", "file", "r", "b", "h", None), ("file:r:c", "file", "r", "c", "h", None), ("file:s:d", "file", "s", "d", "h", T[1]), ("file:r:e", "file", "r", "e", None, T[1])], "id string, type string, repo string, file_path string, file_hash string, deleted_at timestamp_ntz")
+    moves = ingest.renamed(n)
+    assert values(moves) == [("r", "a", "b")]
+    assert values(ingest.rename_edges(n, moves).select("src", "dst", "type")) == [("file:r:a", "file:r:b", "RENAMED_FROM")]
+    gone = spark.createDataFrame([("r", "zz", "b"), ("r", None, "b")], "repo string, old_path string, path string")
+    assert ingest.rename_edges(n, gone).count() == 0
+
+
+def test_stream_brings_edges_and_touches_few_buckets(spark, tmp_path):
+    schema = "run_id string, type string, name string, language string, file_path string, repo string, line_range struct<start:int,end:int>, signature string, code_snippet string, extra map<string,string>, extracted_at timestamp_ntz"
+
+    def rows(run, t):
+        file = lambda p, text: (run, "file", p, None, p, "r", None, None, text, {}, t)
+        fn = lambda p, n: (run, "function", n, None, p, "r", None, n, None, {}, t)
+        return [file("a.py", "import b\ndef f():\n    g()\n"), fn("a.py", "f"), file("b.py", "def g():\n    pass\n"), fn("b.py", "g")]
+
+    g = GraphStream(spark, str(tmp_path / "g"), 16)
+    g.merge(spark.createDataFrame(rows("r1", T[1]), schema), 0)
+    calls = g.edges().where("type = 'CALLS'").collect()
+    assert [(r["src"].split(":")[3], r["dst"].split(":")[3], r["unresolved"]) for r in calls] == [("f", "g", True)]
+    before = g.store.state()
+    g.merge(spark.createDataFrame(rows("r2", T[2])[2:], schema), 1)
+    after = g.store.state()
+    assert g.nodes().count() == 4 and g.edges().where("type = 'CALLS'").count() == 1 and g.applied() == 1
+    assert any(after["nodes"][b] == at for b, at in before["nodes"].items()) and after["edges"] == before["edges"]
+
+
+def test_impact_of_a_hub(spark):
+    """Longer trails are not enumerated for a start whose nearer ones fill the answer; the answer is the same."""
+    pairs = [(f"c{k}", "hub") for k in range(30)] + [(f"d{k}", f"c{k % 30}") for k in range(90)] + [("c1", "lone"), ("d9", "c1")]
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in pairs], "src string, dst string, type string").distinct()
+    nodes = spark.createDataFrame([(x, x, "service", None) for x in sorted({x for p in pairs for x in p})], "id string, name string, layer string, deleted_at timestamp_ntz")
+    starts = spark.createDataFrame([("hub",), ("lone",)], "id string")
+    every = sorted((r["start"], r["depth"], r["name"], r["id"], r["path"]) for r in traversal.impact(edges, nodes, starts, 3, True, None).collect())
+    for most in (5, 40):
+        want = [x for s in ("hub", "lone") for x in [y for y in every if y[0] == s][:most]]
+        assert sorted((r["start"], r["depth"], r["name"], r["id"], r["path"]) for r in traversal.impact(edges, nodes, starts, 3, True, most).collect()) == sorted(want)
+
+
+def test_reachable_in_many_rounds(spark, monkeypatch):
+    monkeypatch.setattr(traversal, "FRONTS", 3)
+    edges = spark.createDataFrame([(f"n{k:02}", f"n{k + 1:02}") for k in range(9)] + [("n05", "n02"), ("x", "y")], "src string, dst string")
+    assert values(traversal.reachable(edges, spark.createDataFrame([("n00",)], "id string"))) == [(f"n{k:02}",) for k in range(10)]
+
+
+def test_judged_document_links(spark):
+    class Sure:
+        def confidence(self, rows):
+            return [0.9 if r["name"] in r["text"] else 0.1 for r in rows]
+
+    class Broken:
+        def confidence(self, rows):
+            raise OSError
+
+    sections = spark.createDataFrame([("s", "r", "The Relay moves parcels")], "section string, repo string, text string")
+    nodes = spark.createDataFrame([("a", "class", "Relay", "r", None), ("b", "class", "Depot", "r", None), ("c", "class", "Depot", "q", None)], "id string, type string, name string, repo string, deleted_at timestamp_ntz")
+    vectors = spark.createDataFrame([("s", [1.0, 0.0]), ("a", [1.0, 0.1]), ("b", [0.9, 0.2]), ("c", [1.0, 0.0])], "id string, embedding array<double>")
+    assert values(resolve.document_links(sections, nodes, 0.3, vectors)) == [("s", "a", 0.5), ("s", "b", 0.5)]
+    assert values(resolve.document_links(sections, nodes, 0.3, vectors, Sure)) == [("s", "a", 0.9)]
+    assert values(resolve.document_links(sections, nodes, 0.3, None, Broken)) == [("s", "a", 0.5)]
+    assert search.knn(vectors, "id", "embedding", spark.createDataFrame([], "query string, vector array<double>")).count() == 0
+
+
+def test_shapes_and_repairs(spark):
+    n = spark.createDataFrame([("a", None, "fooBar", " ", None), ("b", "class", "x", "service", "given")], "id string, type string, name string, layer string, name_tokens string")
+    rows = {r["id"]: r for r in lifecycle.repaired(n).collect()}
+    assert rows["a"]["layer"] is None and rows["a"]["name_tokens"] == "foo bar foobar" and rows["b"]["name_tokens"] == "given"
+    with pytest.raises(ValueError):
+        lifecycle.repaired(n.drop("layer"))
+    shaped = G.shaped(n.withColumns({"summary": F.lit(None).cast("string"), "tags": F.lit(None).cast("array<string>"), "file_path": F.lit("a")})).where("id = 'a'").first()
+    assert (shaped["type"], shaped["summary"], shaped["tags"]) == ("Unknown", "", [])
+    assert [r[0] for r in spark.createDataFrame([("src/latest/a.ts",), ("SPEC/x",), ("src/a.ts",), (None,)], "p string").select(G.test_path_words(F.col("p"))).collect()] == [True, True, False, False]
