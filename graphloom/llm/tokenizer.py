@@ -163,3 +163,17 @@ def encoded(texts: DataFrame, key: str = "doc_id", text: str = "text", counts_on
     rows = spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text")))
     value = "int" if counts_only else "array<int>"
     return rows.mapInArrow(run, f"key {kind}, value {value}").toDF(key, "n_tokens" if counts_only else "ids")
+
+
+def decoded(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, decoded) of rows (key, ids): the texts that the ids stand for."""
+    spark = rows.sparkSession
+    model = spark.sparkContext.broadcast(model_bytes(read_ranks(vocabulary_path(spark))))
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(model.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([enc.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.string())], names=["key", "decoded"])
+
+    return rows.select(F.col(key).alias("key"), "ids").mapInArrow(run, f"key {kind}, decoded string").toDF(key, "decoded")
