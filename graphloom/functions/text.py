@@ -89,47 +89,47 @@ def mirror_path(path: Column | str) -> Column:
 # Layer rules, the first that fits wins; path rules (on the lower-case path) come before name rules.
 # Path rules: words within a folder's name, words within a file's name, further patterns.
 PATH_WORDS = [
-    ("test", "test spec", "", [r"/__tests__/", r"/e2e/", r"\.(?:spec|test)\.[a-z]+$"]),
-    ("component", "component page view guard directive pipe widget screen", "", [r"\.(?:component|guard|directive|pipe|module)\.[a-z]+$"]),
-    ("store", "store state reducer effect action selector", "", [r"\.(?:store|reducer|effects?|actions?|selectors?)\.[a-z]+$"]),
-    ("migration", "migration seed flyway liquibase", "initializ seed", []),
-    ("controller", "controller route handler hub", "", []),
-    ("service", "service logic resolver", "", [r"\.service\.[a-z]+$"]),
-    ("repository", "repositor repo persistence dbcontext", "", []),
-    ("model", "model entit schema dto domain example", "", []),
-    ("validator", "validator validation", "", []),
-    ("utility", "util helper common extension factor mapper constant", "util helper common", []),
-    ("middleware", "middleware interceptor filter pipeline authorization modelbinder custommodelbinder", "", []),
-    ("config", "config configuration setting properties injection", "startup", []),
-    ("exception", "exception error fault", "", []),
+    ("test", ["test", "spec"], [], [r"/__tests__/", r"/e2e/", r"\.(?:spec|test)\.[a-z]+$"]),
+    ("component", ["component", "page", "view", "guard", "directive", "pipe", "widget", "screen"], [], [r"\.(?:component|guard|directive|pipe|module)\.[a-z]+$"]),
+    ("store", ["store", "state", "reducer", "effect", "action", "selector"], [], [r"\.(?:store|reducer|effects?|actions?|selectors?)\.[a-z]+$"]),
+    ("migration", ["migration", "seed", "flyway", "liquibase"], ["initializ", "seed"], []),
+    ("controller", ["controller", "route", "handler", "hub"], [], []),
+    ("service", ["service", "logic", "resolver"], [], [r"\.service\.[a-z]+$"]),
+    ("repository", ["repositor", "repo", "persistence", "dbcontext"], [], []),
+    ("model", ["model", "entit", "schema", "dto", "domain", "example"], [], []),
+    ("validator", ["validator", "validation"], [], []),
+    ("utility", ["util", "helper", "common", "extension", "factor", "mapper", "constant"], ["util", "helper", "common"], []),
+    ("middleware", ["middleware", "interceptor", "filter", "pipeline", "authorization", "modelbinder", "custommodelbinder"], [], []),
+    ("config", ["config", "configuration", "setting", "properties", "injection"], ["startup"], []),
+    ("exception", ["exception", "error", "fault"], [], []),
 ]
 # Name rules: case-sensitive suffixes.
 NAME_SUFFIXES = [
-    ("test", "Test Tests Spec Fixture TestBase TestData TestHelper Mock Stub Fake"),
-    ("component", "Component Guard Pipe Directive Module Page Widget Screen"),
-    ("store", "Store Effect Effects Reducer Action Actions Selector Selectors State Facade"),
-    ("validator", "Validator Validation ValidatorBase Rule"),
-    ("controller", "Controller Handler Router Hub"),
-    ("service", "Service Manager Provider Processor Resolver"),
-    ("repository", "Repository Dao DbContext Context UnitOfWork"),
-    ("model", "Model Entity Dto DTO Response Request View ViewModel Payload Event Command Query Example Result Output Input Summary Info"),
-    ("exception", "Exception Error Fault"),
-    ("utility", "Util Utils Helper Tool Common Extension Extensions Factory Builder Mapper Profile Attribute Decorator Converter"),
-    ("middleware", "Middleware Interceptor Filter Pipeline Behavior"),
-    ("config", "Config Configuration Settings Options Constant Constants Startup"),
-    ("migration", "Migration Snapshot Seed Initialiser Initializer"),
+    ("test", ["Test", "Tests", "Spec", "Fixture", "TestBase", "TestData", "TestHelper", "Mock", "Stub", "Fake"]),
+    ("component", ["Component", "Guard", "Pipe", "Directive", "Module", "Page", "Widget", "Screen"]),
+    ("store", ["Store", "Effect", "Effects", "Reducer", "Action", "Actions", "Selector", "Selectors", "State", "Facade"]),
+    ("validator", ["Validator", "Validation", "ValidatorBase", "Rule"]),
+    ("controller", ["Controller", "Handler", "Router", "Hub"]),
+    ("service", ["Service", "Manager", "Provider", "Processor", "Resolver"]),
+    ("repository", ["Repository", "Dao", "DbContext", "Context", "UnitOfWork"]),
+    ("model", ["Model", "Entity", "Dto", "DTO", "Response", "Request", "View", "ViewModel", "Payload", "Event", "Command", "Query", "Example", "Result", "Output", "Input", "Summary", "Info"]),
+    ("exception", ["Exception", "Error", "Fault"]),
+    ("utility", ["Util", "Utils", "Helper", "Tool", "Common", "Extension", "Extensions", "Factory", "Builder", "Mapper", "Profile", "Attribute", "Decorator", "Converter"]),
+    ("middleware", ["Middleware", "Interceptor", "Filter", "Pipeline", "Behavior"]),
+    ("config", ["Config", "Configuration", "Settings", "Options", "Constant", "Constants", "Startup"]),
+    ("migration", ["Migration", "Snapshot", "Seed", "Initialiser", "Initializer"]),
 ]
 
 
-def path_pattern(folders: str, files: str, more: list[str]) -> str:
-    parts = [rf"/[^/]*(?:{'|'.join(folders.split())})[^/]*/"]
+def path_pattern(folders: list[str], files: list[str], more: list[str]) -> str:
+    parts = [rf"/[^/]*(?:{'|'.join(folders)})[^/]*/"]
     if files:
-        parts.append(rf"/[^/]*(?:{'|'.join(files.split())})[^/]*\.[a-z]+$")
+        parts.append(rf"/[^/]*(?:{'|'.join(files)})[^/]*\.[a-z]+$")
     return "|".join([*parts, *more])
 
 
 PATH_RULES = [(layer, path_pattern(*words)) for layer, *words in PATH_WORDS]
-NAME_RULES = [(layer, f"(?:{'|'.join(words.split())})$") for layer, words in NAME_SUFFIXES]
+NAME_RULES = [(layer, f"(?:{'|'.join(words)})$") for layer, words in NAME_SUFFIXES]
 
 
 def assign_layer(kind: Column | str, name: Column | str, path: Column | str) -> Column:

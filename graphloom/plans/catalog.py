@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import graph_queries, lifecycle_queries, problem_queries, text_queries, traversal_queries, workflow_queries
+from graphloom.plans import graph_queries, ingest_queries, lifecycle_queries, problem_queries, text_queries, traversal_queries, workflow_queries
 
-MODULES = [problem_queries, graph_queries, traversal_queries, text_queries, lifecycle_queries, workflow_queries]
+MODULES = [problem_queries, graph_queries, traversal_queries, text_queries, lifecycle_queries, ingest_queries, workflow_queries]
 
 
 def queries() -> dict:

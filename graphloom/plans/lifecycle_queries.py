@@ -66,7 +66,7 @@ def enriched(s, d) -> DataFrame:
 def node_embeddings(s, d) -> DataFrame:
     n = G.live(N(s, d, "name", "summary", "deleted_at"))
     e = enrich.embeddings(n.select("id", F.concat_ws(" ", "name", "summary").alias("t")), "id", "t")
-    return e.select("id", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("square"))
+    return e.select("id", F.size("embedding").alias("dimension"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).isin(0.0, 1.0).alias("unit_or_empty"))
 
 
 def streamed(s, d) -> DataFrame:
@@ -154,8 +154,14 @@ FROM gn o FULL JOIN nn n ON n.id = o.id"""),
     "diff_removed": (diffed("removed"), sql(f"{DIFF} SELECT repo, id FROM df WHERE kind = 'removed'")),
     "diff_modified": (diffed("modified"), sql(f"{DIFF} SELECT repo, id FROM df WHERE kind = 'modified'")),
     "diff_counts": (diffed(None), sql(f"{DIFF} SELECT repo, kind, count(*) AS count FROM df WHERE kind IS NOT NULL GROUP BY ALL")),
-    "enrichment": (enriched, None),
-    "node_embeddings": (node_embeddings, None),
+    "enrichment": (
+        enriched,
+        sql(""", w AS (SELECT id, type, name, coalesce(code_snippet, '') AS t FROM ln WHERE summary IS NULL AND type IN ('class', 'interface', 'function', 'method', 'file', 'enum')),
+f AS (SELECT id, coalesce(nullif(trim(regexp_extract(t, '(?:\"\"\"|///?|#|/\\*\\*?|\\*)\\s*([A-Za-z][^\\n\"*]{8,200})', 1), ' ' || chr(9) || chr(13)), ''), upper(type[1]) || lower(type[2:]) || ' ' || chr(39) || name || chr(39) || '.') AS s,
+  list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(name, ''), '[A-Z]?[a-z]{2,}'), lambda x: lower(x))))[1:5] AS g, CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, chr(10), '')) + 1 END AS n FROM w)
+SELECT gn.id, coalesce(f.s, summary) AS summary, CASE WHEN f.id IS NOT NULL THEN g ELSE tags END AS tags, CASE WHEN f.id IS NULL THEN complexity WHEN n < 20 THEN 'simple' WHEN n < 60 THEN 'moderate' ELSE 'complex' END AS complexity FROM gn LEFT JOIN f ON f.id = gn.id"""),
+    ),
+    "node_embeddings": (node_embeddings, sql("SELECT id, 64 AS dimension, true AS unit_or_empty FROM ln")),
     "run_totals": (
         lambda s, d: table(s, d, "pipeline_runs").distinct().groupBy("repo").agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "completed").alias("completed"), F.sum("nodes_added").alias("nodes_added"), F.round(F.avg("duration_seconds"), 6).alias("mean_seconds"), F.sum(F.size(F.coalesce("errors", F.array().cast("array<string>")))).alias("errors")),
         "SELECT repo, count(*) AS runs, count(*) FILTER (status = 'completed') AS completed, sum(nodes_added)::BIGINT AS nodes_added, round(avg(duration_seconds), 6) AS mean_seconds, sum(len(coalesce(errors, [])))::BIGINT AS errors FROM (SELECT DISTINCT * FROM pipeline_runs) GROUP BY repo",

