@@ -72,7 +72,7 @@ def node_embeddings(s, d) -> DataFrame:
 def streamed(s, d) -> DataFrame:
     """raw_nodes taken as a stream of files into a fresh store; the result is the batch upsert into an empty graph."""
     root = f"{ensure_checkpoint_dir(s)}/stream-{uuid.uuid4().hex}"
-    g = GraphStream(s, f"{root}/graph")
+    g = GraphStream(s, f"{root}/graph", 8)
     g.start(f"{d}/raw_nodes*.parquet", table(s, d, "raw_nodes").schema, f"{root}/progress").awaitTermination()
     return g.nodes().select("id", "type", "file_hash", "layer", "first_seen_commit")
 
