@@ -2,7 +2,7 @@
 
 BM25 is spelled out over posting lists (k1 1.2, b 0.75; lower case, split at what is no letter or digit).  Vector search
 is exact cosine: the query set is taken in blocks of bounded size, each block meets every partition of the vectors as
-one matrix product, partitions keep their own best and a window merges them.
+one matrix product step by step, partitions keep their own best and a window merges them.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from graphloom.session import cut, spread
 
 K1, B, RRF = 1.2, 0.75, 60
 BLOCK = 2048
+STEP = 1024  # vectors that meet a block at once
 
 
 def terms(c: Column) -> Column:
@@ -162,16 +163,36 @@ def knn(vectors: DataFrame, key: str, vector: str, queries: DataFrame, most: int
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
         def best(batches: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
+            kept, floor = pd.DataFrame({"i": [], "k": [], "score": []}), np.full(len(names), -np.inf)
+            found: list[pd.DataFrame] = []
+            waiting = 0
+
+            def compact() -> pd.DataFrame:
+                """The best of every query so far, ties by key; and the score that a row must reach from now on."""
+                rows = pd.concat([x for x in (kept, *found) if len(x)] or [kept]).sort_values(["i", "score", "k"], ascending=[True, False, True])
+                rows = rows[rows.groupby("i").cumcount() < most]
+                full = rows.groupby("i")["score"].agg(["size", "min"])
+                full = full[full["size"] == most]
+                floor[full.index.to_numpy(int)] = full["min"].to_numpy()
+                found.clear()
+                return rows
+
             for frame in batches:
-                if not len(frame):
-                    continue
-                v = np.stack(frame["v"].to_numpy()).astype(np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                score = np.round((1 + matrix @ v.T) / 2, 6)
-                k = min(most, score.shape[1])
-                edge = np.partition(score, -k, axis=1)[:, -k]
-                i, j = np.nonzero(score >= edge[:, None])  # ties at the edge all go on; the window settles them
-                yield pd.DataFrame({"query": names[i], "k": frame["k"].to_numpy()[j], "score": score[i, j]})
+                for at in range(0, len(frame), STEP):
+                    part = frame.iloc[at : at + STEP]
+                    v = np.stack(part["v"].to_numpy()).astype(np.float64)
+                    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                    score = np.round((1 + matrix @ v.T) / 2, 6)
+                    k = min(most, score.shape[1])
+                    edge = np.maximum(np.partition(score, -k, axis=1)[:, -k], floor)
+                    i, j = np.nonzero(score >= edge[:, None])  # ties at the edge all stay until they are settled by key
+                    found.append(pd.DataFrame({"i": i, "k": part["k"].to_numpy()[j], "score": score[i, j]}))
+                    waiting += len(i)
+                    if waiting > 4 * most * len(names):
+                        kept, waiting = compact(), 0
+            kept = compact()
+            if len(kept):
+                yield pd.DataFrame({"query": names[kept["i"].to_numpy(int)], "k": kept["k"].to_numpy(), "score": kept["score"].to_numpy()})
 
         kind = dict(queries.dtypes)["query"]
         part = vectors.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v IS NOT NULL").mapInPandas(best, f"query {kind}, k {kinds[key]}, score double")

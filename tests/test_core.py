@@ -669,3 +669,20 @@ def test_shapes_and_repairs(spark):
     shaped = G.shaped(n.withColumns({"summary": F.lit(None).cast("string"), "tags": F.lit(None).cast("array<string>"), "file_path": F.lit("a")})).where("id = 'a'").first()
     assert (shaped["type"], shaped["summary"], shaped["tags"]) == ("Unknown", "", [])
     assert [r[0] for r in spark.createDataFrame([("src/latest/a.ts",), ("SPEC/x",), ("src/a.ts",), (None,)], "p string").select(G.test_path_words(F.col("p"))).collect()] == [True, True, False, False]
+
+
+def test_nearest_keep_few_rows(spark, monkeypatch):
+    """A partition gives at most the wanted number for each query, ties by key, also over many steps."""
+    import numpy as np
+
+    monkeypatch.setattr(search, "STEP", 7)
+    rng = np.random.default_rng(2)
+    v = np.vstack([rng.normal(size=(200, 4)), np.ones((60, 4))])
+    rows = spark.createDataFrame([(k, [float(y) for y in x]) for k, x in enumerate(v)], "id long, v array<double>").coalesce(1)
+    q = spark.createDataFrame([("a", [1.0, 1.0, 1.0, 1.0]), ("b", [1.0, -1.0, 0.5, 0.0]), ("c", None)], "query string, vector array<double>")
+    got = sorted((r["query"], r["rank"], r["id"]) for r in search.knn(rows, "id", "v", q, 5).collect())
+    want = []
+    for name, x in (("a", np.ones(4)), ("b", np.array([1, -1, 0.5, 0]))):
+        s = np.round((1 + v @ x / np.linalg.norm(v, axis=1) / np.linalg.norm(x)) / 2, 6)
+        want += [(name, n + 1, k) for n, k in enumerate(sorted(range(len(v)), key=lambda k: (-s[k], k))[:5])]
+    assert got == want
