@@ -160,14 +160,11 @@ def changed_fields(node_snapshots: DataFrame, snapshots: DataFrame) -> DataFrame
         "repo", clean_path("id").alias("id"), "snapshot_no", "loaded_at", F.xxhash64(*values.values()).alias("h1"), F.xxhash64(F.lit("second"), *values.values()).alias("h2"),
         F.struct(*[v.alias(k) for k, v in values.items()]).alias("v"),
     )
-    last = (
-        wide.join(wanted, ["repo", "id", "snapshot_no"])
-        .groupBy("repo", "id", "new_no", "side")
-        .agg(F.max(F.struct("loaded_at", "h1", "h2", "v")).alias("r"))
-    )
-    pair = last.groupBy("repo", "id", "new_no").agg(
-        F.max(F.when(F.col("side") == "old", F.col("r.v"))).alias("o"), F.max(F.when(F.col("side") == "new", F.col("r.v"))).alias("n")
+    row = F.struct("loaded_at", "h1", "h2", "v")
+    last = wide.join(wanted, ["repo", "id", "snapshot_no"]).groupBy("repo", "id", "new_no").agg(
+        F.max(F.when(F.col("side") == "old", row)).alias("o"), F.max(F.when(F.col("side") == "new", row)).alias("n")
     )
+    pair = last.select("repo", "id", "new_no", F.col("o.v").alias("o"), F.col("n.v").alias("n"))
     fields = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"o.{k}").alias("old_value"), F.col(f"n.{k}").alias("new_value")) for k in values])
     return (
         pair.select("repo", F.col("new_no").alias("snapshot_no"), "id", F.explode(fields).alias("f"))
