@@ -27,7 +27,7 @@ def test_syntax_operator(spark):
     rows = [
         ("r1", "file", "a", "java", " src\\a.py", "x", "def f(:\n"), ("r1", "file", "a", "java", "src/a.py", "x", "def f(:\n"), ("r1", "file", "b", None, "b.PY", "x", "x = 1\n"), ("r1", "file", "c", None, "c.json", "x", ""),
         ("r1", "file", "d", None, "d.json", "x", None), ("r1", "file", "e", None, "e.txt", "x", "?("), ("r1", "class", "f", None, "f.py", "x", "?("), ("r2", "file", "a", None, "src/a.py", "x", "x = 1"), (None, "file", "g", None, None, "x", "?("),
-        ("r3", "file", "h", None, "h.js", None, "let a = 1;\n" * 20_000 + "let ="),
+        ("r3", "file", "h", None, "h.js", None, "a = 1;\n" * 20_000 + "let ="),
     ]
     df = spark.createDataFrame(rows, RAW).withColumn("text", F.lit(1)).withColumn("extension", F.lit("clash"))
     assert values(syntax.invalid(df)) == [("r1", "src/a.py"), ("r3", "h.js")]
