@@ -40,7 +40,7 @@ PART = re.compile(rf"{NAME}|[{U}]\.")
 SURNAME_FIRST = re.compile(rf"[{U}](?<![\w.@+-][{U}])[{U}]{{2,}}(?:-[{U}]{{2,}})?,[ \xa0](?:{NAME}|[{U}]\.)(?:[ \xa0][{U}]\.)?(?![\w@])")
 LOWER_TAIL = re.compile(rf"(?:-[{L}]+)?[ \xa0](?:[{L}]\.[ \xa0])?[{L}]{{4,}}(?![\w@-])")
 LOWER_INITIAL = re.compile(rf"\.(?<=[{L}]\.)(?<![\w.@+-][{L}]\.)[ \xa0][{L}]{{5,}}(?![\w@.-])")  # from its point on
-CODE_START = re.compile(r"[+(A-Z\d](?<![\w.@/#-][+(A-Z\d])(?:(?<=[+(\d])|(?=[A-Z]?[\d -]))")
+CODE_START = re.compile(r"[+(A-Z\d](?<![\w.@/#-][+(A-Z\d])(?:(?<=\d)|(?<=[+(])(?=[+(A-Z\d])|(?<=[A-Z])(?=[A-Z]?[\d -]))")
 CODE = re.compile(
     r"(?!\d{4}-\d\d-\d\d[T ]\d)[+(]{0,2}(?:[A-Z]{1,2}(?=[\d-]|[ ]\d\d[ ])[ -]?)?\d[\dA-Z]*(?:(?:[ \xa0]?\(|\)[ \xa0]?|[ \xa0.\-/])(?:\d[\dA-Z]*|[A-Z]\b(?!['’])))*(?![\w@])"
 )
@@ -75,7 +75,7 @@ MOST_DIGITS = 24  # longer numbers are no numbers of a person
 NAME_BEFORE = re.compile(rf"({NAME})[ \xa0]$")
 WORD_LEFT = re.compile(r"(\w+)?(\W{0,3})$")
 WORD_RIGHT = re.compile(r"(\W{0,3})(\w+)?")
-TOKEN = re.compile(r"\w+")
+TOKEN = re.compile(r"\w{3,}")  # shorter words are in no list
 SPACES, CAPITAL, DIGITS, FIGURE, DOTS = (re.compile(x) for x in (r"\s+", r"[A-Z]", r"\d+", r"[9A]+", DOT))
 
 Candidate = tuple[int, int, str, str]  # start, end, kind, form
