@@ -249,7 +249,7 @@ def with_headers(rows: DataFrame) -> DataFrame:
     words = heads.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("lib").alias("lib")).where(F.col("n") >= max(3, n // RARE))
     listed = words.limit(MOST_WORDS + 1).collect()
     if len(listed) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} header words")
+        return joined_headers(rows, words, n, inside)
     counts = {w: (2.0, 0.0) for w in CARRIED}
     for w, k, lib in listed:
         start = counts.get(w, (0.0, 0.0))
@@ -265,6 +265,17 @@ def with_headers(rows: DataFrame) -> DataFrame:
     return rows.withColumn("e3", F.col("e3") + F.greatest(F.lit(0.0), said("head"))).drop("head")
 
 
+def joined_headers(rows: DataFrame, words: DataFrame, n: int, inside: int) -> DataFrame:
+    """The same evidence where the words are too many to share: headers meet the odds of their words in a join."""
+    carried = F.when(F.col("word").isin(*CARRIED), 2.0).otherwise(0.0)
+    odds = F.log((F.col("lib") + carried + 0.5) / (inside + 4)) - F.log((F.col("n") - F.col("lib") + 0.5) / (n - inside + 4))
+    missing = rows.sparkSession.createDataFrame([(w,) for w in CARRIED], "word string").join(words.select("word"), "word", "left_anti").select("word", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("lib"))
+    table = words.select("word", "n", F.col("lib").cast("bigint").alias("lib")).unionByName(missing).select("word", odds.alias("odds"))
+    key = ["id", "repo", "path"]
+    said = rows.select(*key, "head", F.explode("head").alias("word")).join(table, "word").groupBy(*key, "head").agg(F.least(F.lit(3.5), F.sum("odds")).alias("said"))
+    return rows.join(said, [*key, "head"], "left").withColumn("e3", F.col("e3") + F.greatest(F.lit(0.0), F.coalesce("said", F.lit(0.0)))).drop("said", "head")
+
+
 E = [f"e{k}" for k in range(5)]
 M = [f"m{k}" for k in range(5)]
 B = [f"b{k}" for k in range(5)]

@@ -211,6 +211,18 @@ def test_references_beyond_the_shared_size(spark):
     assert shared == joined and {r[0] for r in shared if r[6] > 7} == {"v"}
 
 
+def test_header_words_beyond_the_shared_list(spark, monkeypatch):
+    rows = [(f"h{k}", "file", "r", f"src/h{k}.py", f"# Copyright Fernway, licence {k % 3}.1\n" + HAND) for k in range(12)] + [(f"l{k}", "file", "r", f"vendor/p{k}/x.py", f"# p{k} 1.{k}.0, redistributed\n" + HAND) for k in range(6)] + [("n", "file", "r", "a.py", None)]
+    df, none = spark.createDataFrame(rows, NODES), spark.createDataFrame([], "code_snippet string")
+
+    def found():
+        return {r["id"]: [round(r[e], 6) for e in provenance.E] for r in provenance.evidence(df, none).collect()}
+
+    want = found()
+    monkeypatch.setattr(provenance, "MOST_WORDS", 2)
+    assert found() == want and len({tuple(v) for v in want.values()}) > 1
+
+
 def test_headers_are_learned_from_where_files_lie(spark):
     """A house header with a licence word is no sign of a library; one that library folders carry is."""
     house = "# Copyright Fernway Mills. All rights reserved, licence on request.\n"
