@@ -92,6 +92,13 @@ def node_search(s, d):
     return S.bm25(n, "id", F.concat_ws(" ", "name", split, "summary", "signature"), q)
 
 
+def section_search(s, d):
+    """Documents and sections by name and text; the queries are the names of the sections."""
+    n = G.live(N(s, d, "type", "name", "code_snippet", "deleted_at")).where(F.col("type").isin(*G.DOC_TYPES))
+    q = n.where("type = 'section' AND name IS NOT NULL").select(F.col("name").alias("query"), F.col("name").alias("q")).distinct()
+    return S.bm25(n, "id", F.concat_ws(" ", "name", "code_snippet"), q)
+
+
 WORDS = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
@@ -135,6 +142,7 @@ PAIRS: dict[str, tuple] = {
     ),
     "fulltext_docs": (docs_ranked, f"WITH {doc_sql(10)} SELECT * FROM docs"),
     "fulltext_code": (node_search, sql(", " + bm25_sql("docs", f"SELECT id, {NODE_TEXT} AS t FROM ln", "id", "SELECT DISTINCT layer AS query, layer AS q FROM ln WHERE layer IS NOT NULL", 10) + " SELECT * FROM docs")),
+    "fulltext_sections": (section_search, sql(", " + bm25_sql("docs", "SELECT id, concat_ws(' ', name, code_snippet) AS t FROM ln WHERE type IN ('document', 'section')", "id", "SELECT DISTINCT name AS query, name AS q FROM ln WHERE type = 'section' AND name IS NOT NULL", 10) + " SELECT * FROM docs")),
     "vector_topk": (vectors_ranked, f"WITH {vec_sql(10)} SELECT * FROM vecs"),
     "vector_topk_postfilter": (vector_filtered, f"WITH {vec_sql(30)} SELECT query, vecs.vec_id, score, rank FROM vecs JOIN embeddings a ON a.vec_id = vecs.vec_id JOIN embeddings b ON b.vec_id = query WHERE a.label = b.label"),
     "hybrid_rrf": (
