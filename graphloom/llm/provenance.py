@@ -281,17 +281,16 @@ M = [f"m{k}" for k in range(5)]
 B = [f"b{k}" for k in range(5)]
 
 
-def through(df: DataFrame, values: list[Column], matrix: np.ndarray, out: list[str]) -> DataFrame:
+def through(df: DataFrame, values: list[str], matrix: np.ndarray, out: list[str]) -> DataFrame:
     """df with a log message through a compatibility: for each row r, log sum over c of matrix[r, c] * exp(values[c]).
 
-    In steps, so that no expression is written out many times in the generated code.
+    ``values`` are SQL expressions.  In steps, so that no expression is written out many times in the generated code.
     """
-    kept = [c for c in df.columns if c not in out]
-    v, x = [f"__v{k}" for k in range(5)], [f"__x{k}" for k in range(5)]
-    df = df.withColumns(dict(zip(v, values, strict=True))).withColumn("__top", F.greatest(*v))
-    df = df.select(*kept, "__top", *[F.exp(F.col(a) - F.col("__top")).alias(b) for a, b in zip(v, x, strict=True)])
-    sums = [sum((F.col(x[c]) * float(matrix[r, c]) for c in range(1, 5)), F.col(x[0]) * float(matrix[r, 0])) for r in range(5)]
-    return df.select(*kept, *[(F.log(t) + F.col("__top")).alias(o) for t, o in zip(sums, out, strict=True)])
+    kept = [f"`{c}`" for c in df.columns if c not in out]
+    df = df.selectExpr(*kept, *[f"{v} AS __v{k}" for k, v in enumerate(values)])
+    df = df.selectExpr("*", "greatest(__v0, __v1, __v2, __v3, __v4) AS __top").selectExpr(*kept, "__top", *[f"exp(__v{k} - __top) AS __x{k}" for k in range(5)])
+    sums = [" + ".join(f"__x{c} * {float(matrix[r, c])!r}D" for c in range(5)) for r in range(5)]
+    return df.selectExpr(*kept, *[f"ln({t}) + __top AS {o}" for t, o in zip(sums, out, strict=True)])
 
 
 # The same in arrays, where every row has a matrix of its own (25 numbers, row by row).
@@ -356,7 +355,7 @@ def directories(groups: DataFrame) -> DataFrame:
     kids = every.where("pkey IS NOT NULL").groupBy("repo", F.col("pkey").alias("key")).agg(F.count(F.lit(1)).alias("kids"))
     own = directory_evidence(F.regexp_extract("key", r"([^/]*)$", 1), F.col("depth"))
     v = F.array(*[F.coalesce(F.col(b), F.lit(0.0)) + e for b, e in zip(B, own, strict=True)])
-    flat = F.array(*[F.lit(float(x)) for x in COMPATIBLE.ravel()])
+    flat = F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in COMPATIBLE.ravel()) + ")")
     return every.join(here, KEY, "left").join(kids, KEY, "left").select(*KEY, "pkey", "depth", F.coalesce("kids", F.lit(0)).alias("kids"), v.alias("v"), flat.alias("a"))
 
 
@@ -389,20 +388,20 @@ def contracted(dirs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def propagate(files: DataFrame) -> DataFrame:
     """Beliefs of the files: (id, repo, path, extension, b0..b4), up to a constant."""
     group = F.concat(F.lit("/"), F.when(F.instr("path", "/") > 0, F.regexp_replace("path", r"/[^/]*$", "/")).otherwise(""), F.lit("*."), F.col("extension"))
-    sent = through(files.withColumn("key", group), [F.col(c) for c in E], COMPATIBLE, M)
-    groups = through(sent.groupBy(*KEY).agg(*[F.sum(m).alias(m) for m in M]), [F.col(m) for m in M], COMPATIBLE, B).withColumn("pkey", parent(F.col("key")))
+    sent = through(files.withColumn("key", group), E, COMPATIBLE, M)
+    groups = through(sent.groupBy(*KEY).agg(*[F.sum(m).alias(m) for m in M]), M, COMPATIBLE, B).withColumn("pkey", parent(F.col("key")))
     groups = cut(groups)  # b: what a group sends to its directory
     roots, gone = contracted(directories(groups))
-    known = roots.select(*KEY, F.col("v").alias("u"), plus(F.col("v"), F.array(*map(F.lit, map(float, ROOT)))).alias("b"))
+    known = roots.select(*KEY, F.col("v").alias("u"), plus(F.col("v"), F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in ROOT) + ")")).alias("b"))
     for part in reversed(gone):
         above = known.select("repo", F.col("key").alias("pkey"), F.col("b").alias("pb"))
         below = known.select("repo", F.col("key").alias("ckey"), F.col("u").alias("cu"))
         here = part.join(above, ["repo", "pkey"]).join(below, ["repo", "ckey"], "left").select(*KEY, back("a", "v", "pb", "ca", "cu").alias("r"))
         known = known.unionByName(cut(here.select(*KEY, "r.u", "r.b")))
     above = groups.join(known.select("repo", F.col("key").alias("pkey"), F.col("b").alias("pb")), ["repo", "pkey"])
-    down = through(above, [F.get("pb", F.lit(k)) - F.col(b) for k, b in enumerate(B)], COMPATIBLE.T, ["d" + b for b in B])
+    down = through(above, [f"pb[{k}] - {b}" for k, b in enumerate(B)], COMPATIBLE.T, ["d" + b for b in B])
     beliefs = down.select(*KEY, *[(F.col(m) + F.col("d" + b)).alias("p" + b) for m, b in zip(M, B, strict=True)])
-    final = through(sent.join(beliefs, KEY), [F.col("p" + b) - F.col(m) for b, m in zip(B, M, strict=True)], COMPATIBLE.T, B)
+    final = through(sent.join(beliefs, KEY), [f"p{b} - {m}" for b, m in zip(B, M, strict=True)], COMPATIBLE.T, B)
     return final.select("id", "repo", "path", "extension", *[(F.col(e) + F.col(b)).alias(b) for e, b in zip(E, B, strict=True)])
 
 
