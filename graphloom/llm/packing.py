@@ -27,21 +27,25 @@ from graphloom.llm import tokenizer
 from graphloom.session import cut
 
 RANKED = 100_000  # items of one size that one window group ranks, about
-MOST_ENDS = 4096  # sizes among which the ends are chosen; more different sizes are thinned evenly, the largest stays
 
 
 def boundaries(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[int]:
-    """Upper ends of the buckets with the least total padding (sizes ascending, each at most the capacity)."""
-    ends_at = np.arange(len(sizes)) if len(sizes) <= MOST_ENDS else np.unique(np.linspace(0, len(sizes) - 1, MOST_ENDS).astype(int))
-    before = np.concatenate([[0], np.cumsum(counts)[ends_at]]).astype(np.int64)
-    tops = np.asarray(sizes)[ends_at]
-    n = len(tops)
+    """Upper ends of the buckets with the least total padding (sizes ascending, each at most the capacity), among all sizes.
+
+    best[j] is the least best[i] + ceil((before[j] - before[i]) / per) of i < j.  As the ceiling is monotone, that is the ceiling
+    of (before[j] + min(per * best[i] - before[i])) / per; sizes of one ``per`` lie together and cannot lower the minimum
+    among themselves, so each such run is one step, on at most capacity / per sizes: about capacity * log(capacity) in all.
+    """
+    tops = np.asarray(sizes, np.int64)
+    before = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+    n, per = len(tops), capacity // tops
     best, back = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    for j in range(1, n + 1):
-        per = capacity // int(tops[j - 1])
-        containers = best[:j] - (before[:j] - before[j]) // per  # ceiling of (items / per)
-        back[j] = i = int(np.argmin(containers))
-        best[j] = containers[i]
+    runs = np.append(np.flatnonzero(np.diff(per, prepend=-1)) + 1, n + 1)
+    for a, b in zip(runs[:-1], runs[1:], strict=True):
+        p = per[a - 1]
+        least = np.minimum.accumulate(p * best[:a] - before[:a])
+        best[a:b] = -(-(before[a:b] + least[-1]) // p)
+        back[a:b] = np.searchsorted(-least, before[a:b] - p * best[a:b])  # the first i that gives as few
     ends, j = [], n
     while j:
         ends.append(int(tops[j - 1]))
@@ -158,10 +162,10 @@ def histogram(placed: DataFrame) -> pd.DataFrame:
 
 
 def ranked(placed: DataFrame, h: pd.DataFrame) -> DataFrame:
-    """With the number of every item among those of its type and size, from 0.
+    """With the number of every item among those of its type and size, from 0, in the order of (doc_id, part_no).
 
-    A size of many items is cut by hash of (doc_id, part_no) into parts of about RANKED items; parts are ranked apart and
-    then moved by the items of the parts before.
+    Sizes of many items are dealt out by ranges of (doc_id, part_no) in parts of about RANKED items; parts are ranked apart
+    and then moved by the items of the parts before, which gives the numbers that one part would give.
     """
     spark = placed.sparkSession
     hot = h[h["count"] > RANKED]
@@ -169,11 +173,15 @@ def ranked(placed: DataFrame, h: pd.DataFrame) -> DataFrame:
     w = Window.partitionBy(*group).orderBy("doc_id", "part_no")
     if hot.empty:
         return placed.withColumn("salt", F.lit(0)).withColumn("nth", (F.row_number().over(w) - 1).cast("bigint"))
-    salts = spark.createDataFrame([(int(t), int(s), int(-(-c // RANKED))) for t, s, c in hot.itertuples(index=False)], "t int, n_tokens int, salts int")
-    cutup = placed.join(F.broadcast(salts), ["t", "n_tokens"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "part_no"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    many = spark.createDataFrame([(int(t), int(s)) for t, s in hot[["t", "n_tokens"]].itertuples(index=False)], "t int, n_tokens int")
+    parts = int((-(-hot["count"] // RANKED)).sum())
+    ranges = placed.join(F.broadcast(many), ["t", "n_tokens"], "left_semi").repartitionByRange(parts, "t", "n_tokens", "doc_id", "part_no")
+    cutup = cut(ranges.withColumn("salt", F.spark_partition_id()))  # kept, as the ranges are drawn anew wherever they are asked for
     before = Window.partitionBy("t", "n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     moved = cutup.groupBy(*group).count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
-    return cutup.withColumn("nth", F.row_number().over(w) - 1).join(moved, group).withColumn("nth", F.col("nth") + F.col("offset")).drop("offset")
+    numbered = cutup.withColumn("nth", F.row_number().over(w) - 1).join(moved, group).withColumn("nth", F.col("nth") + F.col("offset")).drop("offset")
+    few = placed.join(F.broadcast(many), ["t", "n_tokens"], "left_anti").withColumn("salt", F.lit(0)).withColumn("nth", (F.row_number().over(w) - 1).cast("bigint"))
+    return numbered.unionByName(few)
 
 
 def pack(documents: DataFrame, containers: DataFrame) -> DataFrame:

@@ -305,6 +305,24 @@ def test_boundaries_are_optimal():
         assert padding(sizes, counts, ends, capacity) == best
 
 
+def test_boundaries_of_many_sizes_are_optimal():
+    """Every size is looked at, however many there are: the ends of the plain dynamic programming over 6 000 sizes."""
+    capacity = 8192
+    sizes = np.sort(np.random.default_rng(4).choice(np.arange(1, capacity + 1), 6000, False))
+    counts = np.random.default_rng(6).integers(1, 50, len(sizes))
+    before, best, back = np.concatenate([[0], np.cumsum(counts)]), np.zeros(len(sizes) + 1, int), np.zeros(len(sizes) + 1, int)
+    for j in range(1, len(sizes) + 1):
+        containers = best[:j] - (before[:j] - before[j]) // (capacity // sizes[j - 1])
+        back[j] = np.argmin(containers)
+        best[j] = containers[back[j]]
+    ends, j = [], len(sizes)
+    while j:
+        ends.append(int(sizes[j - 1]))
+        j = back[j]
+    assert packing.boundaries(sizes, counts, capacity) == ends[::-1]
+    assert packing.boundaries(sizes[:0], counts[:0], capacity) == []
+
+
 def unused(p, sizes, counts, capacity):
     return 1 - sum(s * c for s, c in zip(sizes, counts, strict=True)) / (p.containers * capacity)
 
@@ -336,6 +354,17 @@ def test_a_hot_size_is_ranked_in_parts(spark, monkeypatch):
     assert out[out.n_tokens == 7].salt.nunique() == 9
 
 
+def test_a_hot_size_is_ranked_as_any_other(spark, monkeypatch):
+    """Numbers follow (doc_id, part_no), in how many parts they are given."""
+    placed = spark.range(600).select((F.col("id") % 2).cast("int").alias("t"), F.when(F.col("id") > 9, F.col("id") * 7 % 601).alias("doc_id"), F.lit(0).alias("part_no"), F.lit(0).alias("start_token"), F.when(F.col("id") < 500, 7).otherwise(3).alias("n_tokens"))
+    h = packing.histogram(placed)
+    want = values(packing.ranked(placed, h).select("t", "n_tokens", "doc_id", "nth").where("doc_id IS NOT NULL"))
+    for most in (20, 110):
+        monkeypatch.setattr(packing, "RANKED", most)
+        out = packing.ranked(placed, h)
+        assert values(out.select("t", "n_tokens", "doc_id", "nth").where("doc_id IS NOT NULL")) == want and out.count() == 600
+
+
 def test_many_container_types(spark):
     docs = spark.createDataFrame([(k, "word " * (k % 9)) for k in range(20)], DOC)
     kinds = spark.createDataFrame([(f"c{k}", 5 + k % 40) for k in range(120)], "container_type string, capacity_tokens int")
